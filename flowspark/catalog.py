@@ -617,7 +617,7 @@ nrm as (select *, pagerank / max(pagerank) over () as norm_pagerank from sev),
 thr as (select *, 0.35::double * attack_ratio + 0.20::double * norm_pagerank + 0.25::double * avg_risk + 0.20::double * alert_severity_score as threat_score,
   case when attack_ratio >= 0.1::double then 'attacker' when attack_ratio >= 0.001::double then 'suspect' else 'normal' end as role from nrm),
 ranking as (select *, row_number() over (order by threat_score desc, source_ip) as rank from thr)"""
-RANKING_OUT = "rank, source_ip, role, total_flows, attack_flows, critical, high, medium, round(threat_score, 8) as threat_score, round(pagerank, 9) as pagerank, round(norm_pagerank, 8) as norm_pagerank, round(alert_severity_score, 9) as alert_severity_score"
+RANKING_OUT = "rank, source_ip, role, total_flows, attack_flows, critical, high, medium, round(threat_score, 12) as threat_score, round(pagerank, 10) as pagerank, round(norm_pagerank, 9) as norm_pagerank, round(alert_severity_score, 9) as alert_severity_score"
 
 
 def ranking_of(df: DataFrame) -> DataFrame:
@@ -629,21 +629,21 @@ def ranking_of(df: DataFrame) -> DataFrame:
 def threat_ranking(spark, sf):
     out = ranking_of(fx.alerts(spark, sf)).select(
         "rank", "source_ip", "role", "total_flows", "attack_flows", "critical", "high", "medium", "threat_score", "pagerank", "norm_pagerank", "alert_severity_score")
-    return rounded(rounded(out, 8, "threat_score", "norm_pagerank"), 9, "pagerank", "alert_severity_score")
+    return rounded(rounded(rounded(out, 12, "threat_score"), 10, "pagerank"), 9, "norm_pagerank", "alert_severity_score")
 
 
-@query(f"with recursive {THREAT_SQL} select rank, source_ip, role, total_flows, critical, high, medium, round(threat_score, 8) as threat_score from ranking where rank <= 20")
+@query(f"with recursive {THREAT_SQL} select rank, source_ip, role, total_flows, critical, high, medium, round(threat_score, 12) as threat_score from ranking where rank <= 20")
 def threat_top20(spark, sf):
     top = ranking_of(fx.alerts(spark, sf)).orderBy("rank").limit(20)
-    return rounded(top.select("rank", "source_ip", "role", "total_flows", "critical", "high", "medium", "threat_score"), 8, "threat_score")
+    return rounded(top.select("rank", "source_ip", "role", "total_flows", "critical", "high", "medium", "threat_score"), 12, "threat_score")
 
 
 # The tables below need roles only; the short ranking has no graph part.
 ROLES_SQL = f"""{SUMMARY_SQL},
 ranking as (select *, row_number() over (order by threat_score desc, source_ip) as rank from (select *,
   0.35::double * attack_ratio + 0.20::double * 0 + 0.25::double * avg_risk + 0.20::double * ((3 * critical + 2 * high + medium)::double / greatest(total_flows * 3, 1)) as threat_score,
-  case when attack_ratio >= 0.8::double then 'attacker' when attack_ratio >= 0.55::double then 'suspect' else 'normal' end as role from summary))"""
-STRICT = TraceConfig(columns=SNAKE, attacker_ratio=0.8, suspect_ratio=0.55)
+  case when attack_ratio >= 0.42::double then 'attacker' when attack_ratio >= 0.36::double then 'suspect' else 'normal' end as role from summary))"""
+STRICT = TraceConfig(columns=SNAKE, attacker_ratio=0.42, suspect_ratio=0.36)
 
 
 def short_ranking(df: DataFrame, cfg: TraceConfig = STRICT) -> DataFrame:
@@ -661,7 +661,7 @@ def graph_stats(spark, sf):
 
 
 CAMP_SQL = f"""{ROLES_SQL}, hot as (select a.* from alerts a join ranking r using (source_ip) where r.role in ('attacker', 'suspect') and alert_level <> 'LOW')"""
-ATT = TraceConfig(columns=SNAKE, attacker_ratio=0.55)
+ATT = TraceConfig(columns=SNAKE, attacker_ratio=0.36)
 CAMP_WHERE = "from hot where upper(trim(label)) <> 'BENIGN'"
 
 
@@ -735,7 +735,7 @@ def evidence_chains(spark, sf):
         "time_evidence.first_seen", "time_evidence.attack_end"), 10, "avg_risk_score")
 
 
-SHOWN = TraceConfig(columns=SNAKE, attacker_ratio=0.8, suspect_ratio=0.55, max_edges=500)
+SHOWN = TraceConfig(columns=SNAKE, attacker_ratio=0.42, suspect_ratio=0.36, max_edges=500)
 SHOWN_SQL = f"""{ROLES_SQL}, shown as (select source_ip as src, destination_ip as dst, count(*) as flow_count,
   count(*) filter (where alert_level = 'CRITICAL') as critical, count(*) filter (where alert_level = 'HIGH') as high,
   count(*) filter (where alert_level = 'MEDIUM') as medium, avg(risk_score) as avg_risk from alerts where alert_level <> 'LOW'

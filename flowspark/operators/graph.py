@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowspark.config import SUSPICIOUS_LEVELS, FlowColumns, TraceConfig
 from flowspark.functions.scalars import quoted
-from flowspark.staging import drop_staged, staged
+from flowspark.staging import drop_path, new_path, staged
 
 
 def suspicious(df: DataFrame) -> DataFrame:
@@ -65,45 +66,53 @@ def graph_stats(edges: DataFrame, ranking: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
     """PageRank over weighted edges (src, dst, weight) -> (node, pagerank).
 
-    Ranks of a round are written once, which cuts the lineage and yields the
-    change and the dangling mass on the way. Edges stay partitioned by source
-    over all rounds; sources with very many edges are salted, and only their
-    ranks are repeated per salt.
+    The ranks of a round are written once, which cuts the lineage and yields
+    the change and the dangling mass on the way. Edges stay partitioned by
+    source over all rounds; sources with very many edges are salted, and only
+    their ranks are repeated per salt.
     """
-    edges = staged(edges.select("src", "dst", F.col("weight").cast("double")), "edges")
+    edges, size = staged(edges.select("src", "dst", F.col("weight").cast("double")), "edges", {"n": F.count(F.lit(1))})
+    n_edges = size["n"]
     spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("weight").alias("strength"), F.count(F.lit(1)).alias("degree"))
-    state = node_set(edges).join(out, F.col("node") == F.col("src"), "left").select(
-        "node", (F.coalesce("strength", F.lit(0.0)) == 0).alias("dangling"),
-        F.greatest(F.ceil(F.coalesce("degree", F.lit(0)) / F.lit(cfg.hot_degree)), F.lit(1)).cast("int").alias("salts"))
-    state, seen = staged(state, "nodes", {"n": F.count(F.lit(1)), "d": F.count_if("dangling")})
+    salts = F.greatest(F.ceil(F.coalesce("degree", F.lit(0)) / F.lit(cfg.hot_degree)), F.lit(1)).cast("int")
+    nodes, seen = staged(
+        node_set(edges).join(out, F.col("node") == F.col("src"), "left").select(
+            "node", (F.coalesce("strength", F.lit(0.0)) == 0).alias("dangling"), salts.alias("salts")),
+        "nodes", {"n": F.count(F.lit(1)), "d": F.count_if("dangling")})
     n = seen["n"]
     if n == 0:
         return spark.createDataFrame([], "node string, pagerank double")
 
-    strong = out.where("strength <> 0").withColumn(
-        "salts", F.greatest(F.ceil(F.col("degree") / F.lit(cfg.hot_degree)), F.lit(1)).cast("int"))
-    links = edges.join(strong, "src").select(
+    # every node also links to itself without passing rank: that link carries
+    # the node's own facts, so a round needs one join and one aggregation
+    links = edges.join(out.where("strength <> 0").withColumn("salts", salts), "src").select(
         "src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
-        (F.col("weight") / F.col("strength")).alias("p"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (F.col("weight") / F.col("strength")).alias("p"), F.lit(0.0).alias("own"),
+        F.lit(None).cast("boolean").alias("dangling"), F.lit(None).cast("int").alias("salts"))
+    links = links.unionByName(nodes.select(
+        F.col("node").alias("src"), F.lit(0).alias("salt"), F.col("node").alias("dst"), F.lit(0.0).alias("p"),
+        F.lit(1.0).alias("own"), "dangling", "salts"))
+    # as many parts as the edges need; a graph that fits one part runs without shuffles
+    parts = max(1, math.ceil((n_edges + n) / cfg.rows_per_part))
     links = links.repartition(parts, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
 
-    ranks = state.withColumn("rank", F.lit(1.0 / n))
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     mass, previous, done = seen["d"] / n, None, False
     for _ in range(cfg.max_rounds):
+        ranks = ranks.coalesce(1) if parts == 1 else ranks
         spread = ranks.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rank")
-        received = links.join(spread, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(
-            F.sum(F.col("p") * F.col("rank")).alias("got"))
-        fresh = ranks.join(received, "node", "left").select(
-            "node", "dangling", "salts", F.col("rank").alias("__last"),
-            (F.lit(cfg.damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(mass / n)) + F.lit((1 - cfg.damping) / n)).alias("rank"))
-        written, change = staged(fresh, "ranks", {
-            "err": F.sum(F.abs(F.col("rank") - F.col("__last"))),
-            "mass": F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))})
-        if previous is not None:
-            drop_staged(previous)
-        previous, ranks, mass = written, written.drop("__last"), change["mass"]
+        fresh = links.join(spread, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(
+            F.max("dangling").alias("dangling"), F.max("salts").alias("salts"),
+            F.sum(F.col("own") * F.col("rank")).alias("last"), F.sum(F.col("p") * F.col("rank")).alias("got"))
+        rank = F.lit(cfg.damping) * (F.col("got") + F.lit(mass / n)) + F.lit((1 - cfg.damping) / n)
+        path = new_path(spark, "ranks")
+        ranks, change = staged(fresh.select("node", "dangling", "salts", "last", rank.alias("rank")), "ranks", {
+            "err": F.sum(F.abs(F.col("rank") - F.col("last"))),
+            "mass": F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))}, path)
+        if previous:
+            drop_path(spark, previous)
+        previous, mass = path, change["mass"]
         if change["err"] < n * cfg.tolerance:
             done = True
             break

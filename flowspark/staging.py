@@ -33,14 +33,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{staging_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str = "table", observe: dict | None = None):
+def staged(df: DataFrame, tag: str = "table", observe: dict | None = None, path: str | None = None):
     """Write ``df`` once and return the written table.
 
     With ``observe`` (name -> aggregate column) the aggregates are computed
     while writing and returned as a dict next to the table.
     """
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = path or new_path(spark, tag)
     schema = df.schema
     metrics = None
     if observe:
@@ -68,11 +68,7 @@ def release(spark: SparkSession) -> None:
     fs.delete(p, True)
 
 
-def drop_staged(table: DataFrame) -> None:
+def drop_path(spark: SparkSession, path: str) -> None:
     """Remove one staged table that nothing reads any more."""
-    spark = table.sparkSession
-    for name in table.inputFiles()[:1]:
-        folder = name.rsplit("/", 1)[0]
-        if f"/flowspark-{spark.sparkContext.applicationId}/" in folder:
-            fs, p = file_system(spark, folder)
-            fs.delete(p, True)
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
