@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from flowspark.functions.scalars import quoted
 from flowspark.operators.clean import impute_own
 from flowspark.operators.quantiles import sample_exact
-from flowspark.staging import new_path
+from flowspark.staging import new_path, ship_package
 
 NODES_PER_ROUND = 2_000_000  # tree nodes sent to the executors at a time
 
@@ -25,7 +25,7 @@ def forest_nodes(model, df: DataFrame) -> DataFrame:
     cover = F.aggregate(stats, F.lit(0.0), lambda a, v: a + v)
     return df.sparkSession.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), n["id"].alias("node"), n["split"]["featureIndex"].alias("feature"),
-        F.element_at(n["split"]["leftCategoriesOrThreshold"], 1).alias("cut"),
+        F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"),
         n["leftChild"].alias("left"), n["rightChild"].alias("right"), cover.alias("cover"),
         F.try_divide(F.get(stats, F.lit(1)), cover).alias("value"))
 
@@ -92,6 +92,7 @@ def contributions(model, df: DataFrame, features: Sequence[str], sample_id: str
 
     Trees go out in groups of bounded size; the groups' results add up.
     """
+    ship_package(df.sparkSession)
     nodes = forest_nodes(model, df)
     trees = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy("tree").collect()  # one row per tree
     groups, room = [[]], NODES_PER_ROUND

@@ -9,7 +9,7 @@ number of distinct values.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -28,11 +28,12 @@ class Place:
     equal: int
 
 
-def order_statistics(df: DataFrame, value: str, ranks: dict, group: str) -> dict:
-    """Value at each 0-based rank: ``ranks`` maps group -> ranks wanted.
+def order_statistics(df: DataFrame, value: str, ranks: dict | Callable[[int], set], group: str) -> tuple[dict, dict]:
+    """Value at each wanted 0-based rank.
 
-    ``value`` is a double or long column without NULLs; groups not in
-    ``ranks`` are ignored. Returns {(group, rank): Place}.
+    ``ranks`` maps group -> ranks (other groups are ignored), or gives the
+    ranks for a group of n rows. ``value`` is a double or long column without
+    NULLs. Returns {(group, rank): Place} and {group: rows}.
     """
     spark = df.sparkSession
     whole = df.schema[value].dataType.typeName() in ("long", "integer", "bigint")
@@ -43,8 +44,12 @@ def order_statistics(df: DataFrame, value: str, ranks: dict, group: str) -> dict
     found: dict = {}
     open_ranges: dict = {}  # (group, low, high) -> [rows below, wanted ranks]
     edges = data.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-    for row in edges.where(F.col("g").isin(list(ranks))).collect():  # one row per wanted group
-        wanted = sorted({min(max(r, 0), row.n - 1) for r in ranks[row.g]})
+    if not callable(ranks):
+        edges = edges.where(F.col("g").isin(list(ranks)))
+    sizes = {}
+    for row in edges.collect():  # one row per wanted group
+        sizes[row.g] = row.n
+        wanted = sorted({min(max(r, 0), row.n - 1) for r in (ranks(row.n) if callable(ranks) else ranks[row.g])})
         if row.lo == row.hi:
             for r in wanted:
                 found[row.g, r] = Place(row.lo, 0, row.n)
@@ -90,7 +95,7 @@ def order_statistics(df: DataFrame, value: str, ranks: dict, group: str) -> dict
                         following[key[0], row.lo, row.hi] = [below, here]
                 below += row.n
         open_ranges = following
-    return found
+    return found, sizes
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict:
@@ -99,12 +104,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         *[F.struct(F.lit(c).alias("g"), finite(F.col(quoted(c)).cast("double")).alias("v")) for c in columns]
     )
     long = df.select(F.explode(entries).alias("e")).select("e.g", "e.v").where("v is not null")
-    sizes = {r.g: r.n for r in long.groupBy("g").agg(F.count("v").alias("n")).collect()}
-    ranks = {}
-    for c, n in sizes.items():
-        spots = [p * (n - 1) for p in probs]
-        ranks[c] = {math.floor(s) for s in spots} | {min(math.floor(s) + 1, n - 1) for s in spots}
-    found = order_statistics(long, "v", ranks, "g")
+
+    def wanted(n: int) -> set:
+        lows = {math.floor(p * (n - 1)) for p in probs}
+        return lows | {low + 1 for low in lows}
+
+    found, sizes = order_statistics(long, "v", wanted, "g")
     out = {}
     for c in columns:
         for p in probs:
@@ -135,7 +140,7 @@ def hash_cutoffs(df: DataFrame, sample_id: str, group: str, takes: dict, seed: i
     keyed = df.select(group, F.col(quoted(sample_id)).cast("long").alias("__id"),
                       hash_order(sample_id, seed).alias("__h"))
     ranks = {g: {k - 1 for k in ks if k > 0} for g, ks in takes.items()}
-    found = order_statistics(keyed, "__h", {g: r for g, r in ranks.items() if r}, group)
+    found, _ = order_statistics(keyed, "__h", {g: r for g, r in ranks.items() if r}, group)
     cuts = {}
     for g, ks in takes.items():
         for k in ks:
@@ -149,7 +154,7 @@ def hash_cutoffs(df: DataFrame, sample_id: str, group: str, takes: dict, seed: i
             # several ids share the cut hash: settle among them by id
             tied = keyed.where((F.col(group) == F.lit(g)) & (F.col("__h") == F.lit(place.value)))
             rank = k - 1 - place.below
-            cuts[g, k] = (place.value, order_statistics(tied, "__id", {g: {rank}}, group)[g, rank].value)
+            cuts[g, k] = (place.value, order_statistics(tied, "__id", {g: {rank}}, group)[0][g, rank].value)
     return cuts
 
 

@@ -18,7 +18,7 @@ from flowspark.config import UnsupervisedConfig
 from flowspark.functions.recon_net import Net
 from flowspark.functions.scalars import quoted
 from flowspark.operators.curves import roc_auc
-from flowspark.staging import staged
+from flowspark.staging import ship_package, staged
 
 
 def _matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -70,6 +70,7 @@ def fit_reconstruction(
     The rate halves when the validation AUC stands still, training stops when
     it does for long, and the best state is kept.
     """
+    ship_package(train.sparkSession)
     net = Net(len(features), cfg.bottleneck, cfg.hidden_layers, cfg.dropout, variational)
     rows = staged(_matrix(train, features), "train")
     val = staged(val.select(quoted(label), *[quoted(c) for c in features]), "val")
@@ -104,6 +105,7 @@ def _model(net: Net, state: np.ndarray, features: Sequence[str], cfg: Unsupervis
 
 def score_reconstruction(df: DataFrame, model: dict, keep: Sequence[str], name: str = "recon_score") -> DataFrame:
     """Mean squared reconstruction error per row."""
+    ship_package(df.sparkSession)
     features = model["features"]
     net = Net(len(features), model["bottleneck"], model["layers"], model["dropout"], model["variational"])
     weights = df.sparkSession.sparkContext.broadcast(np.asarray(model["weights"]))

@@ -15,6 +15,7 @@ from flowspark.functions.scalars import quoted
 from flowspark.operators.clean import impute_own
 from flowspark.operators.forest import VECTOR, assemble
 from flowspark.operators.quantiles import exact_quantiles, sample_exact
+from flowspark.staging import ship_package
 
 
 def _digamma(n: np.ndarray) -> np.ndarray:
@@ -23,6 +24,23 @@ def _digamma(n: np.ndarray) -> np.ndarray:
     return harmonic[n.astype(int) - 1] - np.euler_gamma
 
 
+def _within(order: np.ndarray, v: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Points of a sorted array no further than r from v. Sums round, so the
+    ends found by search are settled by the distances themselves."""
+    n = len(order)
+    high = np.searchsorted(order, v + r, side="right")
+    low = np.searchsorted(order, v - r, side="left")
+    while True:
+        shrink = (high > 0) & (order[np.maximum(high, 1) - 1] - v > r)
+        grow = ~shrink & (high < n) & (order[np.minimum(high, n - 1)] - v <= r)
+        up = (low < n) & (v - order[np.minimum(low, n - 1)] > r)
+        down = ~up & (low > 0) & (v - order[np.maximum(low, 1) - 1] <= r)
+        if not (shrink.any() or grow.any() or up.any() or down.any()):
+            return high - low
+        high = high - shrink + grow
+        low = low + up - down
+
+
 def knn_information(x: np.ndarray, y: np.ndarray, k: int, rng: np.random.Generator) -> float:
     """Nearest-neighbour estimate of the information between a number and a class."""
     spread = x.std()
@@ -50,7 +68,7 @@ def knn_information(x: np.ndarray, y: np.ndarray, k: int, rng: np.random.Generat
         return 0.0
     v, r = np.concatenate(points), np.concatenate(radius)
     order = np.sort(v)
-    inside = np.searchsorted(order, v + r, side="right") - np.searchsorted(order, v - r, side="left")
+    inside = _within(order, v, r)
     value = (_digamma(np.array([len(v)]))[0] + _digamma(np.concatenate(ks)).mean()
              - _digamma(np.concatenate(sizes)).mean() - _digamma(inside).mean())
     return max(0.0, float(value))
@@ -63,9 +81,10 @@ def _unpivot(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
 def mi_knn(df: DataFrame, features: Sequence[str], label: str, sample_id: str = "sample_id", cfg: UnsupervisedConfig = UnsupervisedConfig()) -> DataFrame:
     """Information per feature on a sample of bounded size, one task per feature."""
+    ship_package(df.sparkSession)
     k, seed = cfg.mi_neighbours, cfg.seed
 
-    def estimate(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def estimate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna().sort_values(["x", "y"])
         rng = np.random.default_rng([seed, *key[0].encode()])
         mi = knn_information(rows["x"].to_numpy(), rows["y"].to_numpy(), k, rng) if len(rows) else 0.0

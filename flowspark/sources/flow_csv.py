@@ -47,7 +47,7 @@ def _file_facts(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[st
     filled = F.trim("value") != ""
     first = F.min_by(F.when(filled, F.col("value")), F.when(filled, F.col("place")))
     facts = lines.groupBy("path").agg(first.alias("header"), F.min(F.is_valid_utf8("value")).alias("utf8"))
-    latin = _cp1252(F.decode(F.col("header").cast("binary"), F.lit("ISO-8859-1")))
+    latin = _cp1252(F.decode(F.col("header").cast("binary"), "ISO-8859-1"))
     shown = facts.select("path", "utf8", F.when(F.col("utf8"), F.col("header")).otherwise(latin).alias("header"))
     return {_bare(r.path): (r.header or "", r.utf8) for r in shown.collect()}  # one row per file
 

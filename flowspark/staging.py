@@ -6,6 +6,8 @@ exact size, so Spark's own broadcast threshold decides joins against it.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -51,6 +53,21 @@ def staged(df: DataFrame, tag: str = "table", observe: dict | None = None, path:
     return (table, metrics.get) if observe else table
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="flowspark-py-"), "flowspark")
+    # built next to the driver; Spark copies it to the workers
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
+    _shipped.add(app)
+
+
 def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
