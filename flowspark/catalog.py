@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowspark import fixtures as fx
-from flowspark.config import AlertConfig, PrepareConfig, TraceConfig
+from flowspark import sinks
+from flowspark.config import AlertConfig, PrepareConfig, SupervisedConfig, TraceConfig, UnsupervisedConfig
 from flowspark.fixtures import ALERTS_SQL, FEATURES, FEATURES_SQL, FLOWS_SQL, SNAKE
 from flowspark.functions import scalars as S
 from flowspark.operators import (
-    alerts as al, campaigns as ca, clean, curves as cu, display as di, edges as ed, evidence as ev, fusion as fu,
-    graph as gr, ordering, quantiles as qu, reconcile as rc, split as sp, summary as su, thresholds as th, threat as tr)
-from flowspark.staging import staged
+    alerts as al, campaigns as ca, clean, curves as cu, display as di, edges as ed, evidence as ev, explain as ex,
+    forest as fo, fusion as fu, graph as gr, iforest as ifo, ordering, quantiles as qu, recon as re_, reconcile as rc,
+    selection as se, split as sp, summary as su, thresholds as th, threat as tr)
+from flowspark.plans.supervised import supervised_score
+from flowspark.sources import flow_csv, tables
+from flowspark.staging import new_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -833,3 +837,218 @@ def flow_id_hit_rate(spark, sf):
 @query(f"with {LAB_SQL} select label, cast(sum(n_rows) as bigint) as n from hits group by 1")
 def match_labels(spark, sf):
     return rc.matched_labels(rc.match_flows(*match_tables(spark, sf)))
+
+
+# --- reading and writing -------------------------------------------------------
+
+
+def written_csvs(spark, sf) -> str:
+    """The flows as three CSV folders' worth of files with blank-padded headers."""
+    path = new_path(spark, "csv")
+    df = fx.flows(spark, sf)
+    for i, kind in enumerate(("BENIGN", "DoS", "PortScan")):
+        part = df.where(F.col("label") == kind).select(
+            F.col("source_ip").alias(" Source IP"), F.col("destination_ip").alias("Destination IP "),
+            F.col("destination_port").alias("Destination Port"), F.date_format("flow_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"),
+            F.when(F.col("sample_id") % 10 == 3, "Infinity").otherwise(F.col("flow_value").cast("string")).alias(" Flow Bytes/s"),
+            F.col("unsup_score").alias("Flow IAT Max"), F.col("sample_id").alias("Idle Mean"), F.col("label").alias(" Label"))
+        part.drop("Flow IAT Max" if i == 2 else "none").write.option("header", True).mode("append").csv(f"{path}/{i}")
+    return path
+
+
+@query(f"""with {FLOWS_SQL}
+select source_ip as "Source IP", destination_ip as "Destination IP", destination_port as "Destination Port",
+  case when sample_id % 10 = 3 then null else flow_value end as "Flow Bytes/s", case when label = 'PortScan' then null else unsup_score end as "Flow IAT Max",
+  sample_id::double as "Idle Mean", label as "Label", binary_label from flows""")
+def csv_flows(spark, sf):
+    path = written_csvs(spark, sf)
+    files = [f for i in range(3) for f in flow_csv.list_csv(spark, f"{path}/{i}")]
+    raw = clean.add_binary_label(clean.keep_labelled(flow_csv.read_flow_csvs(spark, files)))
+    typed = clean.coerce_numeric(flow_csv.typed_trace_columns(raw), ["Flow Bytes/s", "Flow IAT Max", "Idle Mean"])
+    return typed.drop("Timestamp", "source_file", "__block")
+
+
+@query(f"""with {FLOWS_SQL} select row_number() over (order by sample_id) - 1 as row_id, sample_id::double as n from flows where label = 'DoS'""")
+def csv_row_ids(spark, sf):
+    path = f"{written_csvs(spark, sf)}/1"
+    out = flow_csv.with_sample_id(flow_csv.read_flow_csvs(spark, flow_csv.list_csv(spark, path)), "row_id")
+    return out.select("row_id", F.col("Idle Mean").cast("double").alias("n"))
+
+
+@query(f"""with {FLOWS_SQL} select count(*) as n_rows, count(*) filter (where label <> 'PortScan') as n_with_score, min(flow_ts) as first_seen, max(flow_ts) as last_seen from flows""")
+def csv_merge(spark, sf):
+    path = written_csvs(spark, sf)
+    merged = None
+    for i in range(3):
+        part = flow_csv.merge_captures(spark, f"{path}/{i}")
+        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
+    ts = S.to_timestamp("Timestamp")
+    return merged.agg(F.count(F.lit(1)).alias("n_rows"), F.count("Flow IAT Max").alias("n_with_score"),
+                      F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+
+
+def prepared(spark, sf) -> str:
+    path = new_path(spark, "prepared")
+    df = sp.split_flows(clean.drop_incomplete(fx.features(spark, sf).drop("f_const"), FEATURES), PREPARE)
+    sinks.save_prepared(staged(df, "split"), FEATURES, path, SNAKE)
+    return path
+
+
+COMPLETE_SQL = FEATURES_SQL + """,
+whole as (select * from features where f_items is not null)"""
+
+
+@query(f"""with {COMPLETE_SQL}, {quota_sql('whole', 'binary_label', 'b')}
+select w.sample_id, w.f_total, w.f_items, w.label from whole w join b using (sample_id) where b.split = 'test'""")
+def read_split(spark, sf):
+    test = tables.read_split(spark, f"{prepared(spark, sf)}/flows", "test", label="binary_label")
+    return test.select("sample_id", "f_total", "f_items", "label")
+
+
+@query(f"""with {COMPLETE_SQL}, {quota_sql('whole', 'binary_label', 'b')}
+select {', '.join(f'w.{c}' for c in FEATURES)} from whole w join b using (sample_id) where b.split = 'train' and w.binary_label = 0""")
+def benign_train_features(spark, sf):
+    path = prepared(spark, sf)
+    names = tables.read_feature_names(spark, f"{path}/feature_names")
+    return tables.read_columns(spark, f"{path}/features_benign_train", names)
+
+
+@query(f"""with {FLOWS_SQL}, j as (select sample_id, case when flow_value < 10 then null when flow_value < 20 then null else flow_value end as v, label from flows)
+select sample_id, v, label from j""")
+def json_round_trip(spark, sf):
+    path = new_path(spark, "json")
+    v = F.when(F.col("flow_value") < 10, float("nan")).when(F.col("flow_value") < 20, float("inf")).otherwise(F.col("flow_value"))
+    sinks.write_document(fx.flows(spark, sf).select("sample_id", v.alias("v"), "label"), path)
+    return spark.read.schema("sample_id long, v double, label string").json(path)
+
+
+# --- models --------------------------------------------------------------------
+
+SMALL = SupervisedConfig(columns=SNAKE, num_trees=20, max_depth=8, boost_rounds=10, boost_depth=5)
+BRIEF = UnsupervisedConfig(columns=SNAKE, iforest_trees=100, epochs=3)
+
+
+def _model_rows(spark, sf):
+    df = clean.drop_incomplete(fx.features(spark, sf).drop("f_const"), FEATURES)
+    return staged(sp.stratified_split(df, "binary_label", "split_binary", PREPARE), "rows")
+
+
+def _scaled_embeddings(spark, sf):
+    df, names = fx.embedding_features(spark, sf)
+    df = staged(df, "embeddings")
+    stats = clean.scale_stats(df.where("binary_label = 0"), names)
+    return staged(clean.standardise(df, stats), "scaled"), names
+
+
+@query()
+def rf_scores(spark, sf):
+    df = _model_rows(spark, sf)
+    model = fo.fit_forest(df.where("split_binary = 'train'"), FEATURES, SMALL)
+    return fo.score_attacks(model, df, FEATURES, ["sample_id", "split_binary"])
+
+
+@query()
+def rf_importance(spark, sf):
+    df = _model_rows(spark, sf)
+    return fo.importances(fo.fit_forest(df, FEATURES, SMALL), FEATURES, df, 10)
+
+
+@query()
+def gbt_scores(spark, sf):
+    df = _model_rows(spark, sf)
+    model = fo.fit_boosted(df.where("split_binary = 'train'"), FEATURES, SMALL)
+    return fo.score_attacks(model, df, FEATURES, ["sample_id", "split_binary"])
+
+
+@query()
+def supervised_predictions(spark, sf):
+    return supervised_score(_model_rows(spark, sf), FEATURES, SMALL).predictions
+
+
+@query()
+def tree_shap(spark, sf):
+    df = _model_rows(spark, sf)
+    model = fo.fit_forest(df.where("split_binary = 'train'"), FEATURES, SMALL)
+    return ex.explain_forest(model, df.where("split_binary = 'test'"), FEATURES)
+
+
+@query()
+def mi_knn(spark, sf):
+    return se.mi_knn(_model_rows(spark, sf), FEATURES, "binary_label", cfg=BRIEF)
+
+
+MI_BINS = [i / 10 for i in range(1, 10)]
+
+
+@query(f"""with {FEATURES_SQL}, u as (""" + " union all ".join(f"select '{c}' as feature, binary_label as y, {c} as x from features where {c} is not null" for c in FEATURES)
+       + f"""), q as (select feature, quantile_cont(x, {MI_BINS}) as cuts from u group by 1),
+b as (select feature, y, len(list_filter(cuts, lambda c: c < x)) as bin, count(*)::double as n from u join q using (feature) group by all),
+t as (select feature, n, sum(n) over (partition by feature) as total, sum(n) over (partition by feature, bin) as nb, sum(n) over (partition by feature, y) as ny from b)
+select feature, round(greatest(sum(n / total * ln(n * total / (nb * ny))), 0), 10) as mi from t group by 1""")
+def mi_binned(spark, sf):
+    return rounded(se.mi_binned(fx.features(spark, sf), FEATURES, "binary_label"), 10, "mi")
+
+
+@query()
+def pca_variance(spark, sf):
+    df, names = _scaled_embeddings(spark, sf)
+    return se.pca_variance(df.where("binary_label = 0"), names, 0.95)
+
+
+@query()
+def pca_2d(spark, sf):
+    df, names = fx.embedding_features(spark, sf)
+    return se.pca_plane(staged(df, "embeddings"), names, ["sample_id", "binary_label"])
+
+
+@query()
+def iforest_scores(spark, sf):
+    df, names = _scaled_embeddings(spark, sf)
+    nodes = ifo.fit_iforest(df.where("binary_label = 0"), names, cfg=BRIEF)
+    return ifo.score_iforest(df, nodes, names, ["sample_id", "binary_label"])
+
+
+@query()
+def iforest_flow_scores(spark, sf):
+    df = _model_rows(spark, sf)
+    nodes = ifo.fit_iforest(df.where("binary_label = 0"), FEATURES, cfg=BRIEF)
+    return ifo.score_iforest(df, nodes, FEATURES, ["sample_id", "binary_label"])
+
+
+@query()
+def recon_pca(spark, sf):
+    df, names = _scaled_embeddings(spark, sf)
+    return se.linear_residual(df, df.where("binary_label = 0"), names, ["sample_id", "binary_label"], 20)
+
+
+def _recon(spark, sf, variational):
+    df, names = _scaled_embeddings(spark, sf)
+    model, _ = re_.fit_reconstruction(df.where("binary_label = 0"), df, names, "binary_label", variational, BRIEF)
+    return re_.score_reconstruction(df, model, ["sample_id", "binary_label"])
+
+
+@query()
+def recon_ae(spark, sf):
+    return _recon(spark, sf, False)
+
+
+@query()
+def recon_vae(spark, sf):
+    return _recon(spark, sf, True)
+
+
+@query()
+def ensemble_predictions(spark, sf):
+    """Forest and isolation-forest scores of the order rows, fused, calibrated
+    on validation and alerted on test."""
+    df = _model_rows(spark, sf)
+    forest = fo.fit_forest(df.where("split_binary = 'train'"), FEATURES, SMALL)
+    nodes = ifo.fit_iforest(df.where("split_binary = 'train' and binary_label = 0"), FEATURES, cfg=BRIEF)
+    keep = ["sample_id", "binary_label", "split_binary"]
+    rf = fo.score_attacks(forest, df, FEATURES, ["sample_id"], "rf_prob")
+    scored = staged(ifo.score_iforest(df, nodes, FEATURES, keep).join(rf, "sample_id"), "scored")
+    val = scored.where("split_binary = 'val'")
+    ranges = fu.score_ranges(val, ["iforest_score"])
+    scored = staged(fu.fuse(scored, ["iforest_score"], [1.0], ranges, "unsup_score", clip=True, flat=1e-12), "fused")
+    cfg = al.calibrate(scored.where("split_binary = 'val'"), "binary_label", AlertConfig())
+    return al.prediction_table(al.assign_alerts(scored.where("split_binary = 'test'"), cfg), "binary_label")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowspark.config import FlowColumns
-from flowspark.functions.scalars import quoted
+from flowspark.functions.scalars import quoted, to_timestamp
 
 
 def test_rows(df: DataFrame) -> DataFrame:
@@ -14,8 +14,11 @@ def test_rows(df: DataFrame) -> DataFrame:
 
 
 def flow_detail(trace: DataFrame, preds: DataFrame, cols: FlowColumns = FlowColumns()) -> DataFrame:
-    """Trace rows of the test split with their predictions, by unique id."""
+    """Trace rows of the test split with their predictions, by unique id, and
+    with times parsed."""
     fresh = [c for c in preds.columns if c == cols.sample_id or c not in trace.columns]
+    if cols.timestamp in trace.columns and isinstance(trace.schema[cols.timestamp].dataType, T.StringType):
+        trace = trace.withColumn(cols.timestamp, to_timestamp(cols.timestamp))
     return test_rows(trace).join(preds.select(*[quoted(c) for c in fresh]), cols.sample_id, "inner")
 
 
