@@ -17,7 +17,7 @@ from flowspark.operators import (
     selection as se, split as sp, summary as su, thresholds as th, threat as tr)
 from flowspark.plans.supervised import supervised_score
 from flowspark.sources import flow_csv, tables
-from flowspark.staging import new_path, staged
+from flowspark.staging import new_path, spread, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -925,19 +925,20 @@ def json_round_trip(spark, sf):
 # --- models --------------------------------------------------------------------
 
 SMALL = SupervisedConfig(columns=SNAKE, num_trees=20, max_depth=8, boost_rounds=10, boost_depth=5)
+MANY_TREES = SupervisedConfig(columns=SNAKE, num_trees=400, max_depth=8)
 BRIEF = UnsupervisedConfig(columns=SNAKE, iforest_trees=100, epochs=3)
 
 
 def _model_rows(spark, sf):
     df = clean.drop_incomplete(fx.features(spark, sf).drop("f_const"), FEATURES)
-    return staged(sp.stratified_split(df, "binary_label", "split_binary", PREPARE), "rows")
+    return spread(staged(sp.stratified_split(df, "binary_label", "split_binary", PREPARE), "rows"))
 
 
 def _scaled_embeddings(spark, sf):
     df, names = fx.embedding_features(spark, sf)
     df = staged(df, "embeddings")
     stats = clean.scale_stats(df.where("binary_label = 0"), names)
-    return staged(clean.standardise(df, stats), "scaled"), names
+    return spread(staged(clean.standardise(df, stats), "scaled")), names
 
 
 @query()

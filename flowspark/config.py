@@ -140,6 +140,7 @@ class TraceConfig:
     tolerance: float = 1e-6
     max_rounds: int = 100
     hot_degree: int = 1_000_000  # out-edges per source above which its edges are salted
+    rounds_per_write: int = 6  # rank rounds run as one job
     rows_per_part: int = 1_000_000  # graph rows per partition of the rank iteration
     timeline_sources: int = 20
     max_edges: int = 500

@@ -66,13 +66,18 @@ def graph_stats(edges: DataFrame, ranking: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
     """PageRank over weighted edges (src, dst, weight) -> (node, pagerank).
 
-    The ranks of a round are written once, which cuts the lineage and yields
-    the change and the dangling mass on the way. Edges stay partitioned by
-    source over all rounds; sources with very many edges are salted, and only
-    their ranks are repeated per salt.
+    A round is r' = A r + c 1, where A follows the edges and the number c holds
+    the damping and the mass of nodes without out-edges. c needs a global sum,
+    A does not: so several rounds of A run in one job, once for the ranks and,
+    the first time, for the constant vector. The numbers c, the true ranks and
+    the change per round then follow from sums over the written columns. The
+    ranks after every round, and the round that ends it, are those of the plain
+    iteration.
+
+    Edges stay partitioned by source over all rounds; sources with very many
+    edges are salted, and only their ranks are repeated per salt.
     """
     edges, size = staged(edges.select("src", "dst", F.col("weight").cast("double")), "edges", {"n": F.count(F.lit(1))})
-    n_edges = size["n"]
     spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("weight").alias("strength"), F.count(F.lit(1)).alias("degree"))
     salts = F.greatest(F.ceil(F.coalesce("degree", F.lit(0)) / F.lit(cfg.hot_degree)), F.lit(1)).cast("int")
@@ -85,41 +90,66 @@ def pagerank(edges: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
         return spark.createDataFrame([], "node string, pagerank double")
 
     # every node also links to itself without passing rank: that link carries
-    # the node's own facts, so a round needs one join and one aggregation
+    # the node's own columns, so a round needs one join and one aggregation
     links = edges.join(out.where("strength <> 0").withColumn("salts", salts), "src").select(
         "src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
-        (F.col("weight") / F.col("strength")).alias("p"), F.lit(0.0).alias("own"),
-        F.lit(None).cast("boolean").alias("dangling"), F.lit(None).cast("int").alias("salts"))
+        (F.col("weight") / F.col("strength")).alias("p"), F.lit(0.0).alias("own"), F.lit(None).cast("int").alias("salts"))
     links = links.unionByName(nodes.select(
         F.col("node").alias("src"), F.lit(0).alias("salt"), F.col("node").alias("dst"), F.lit(0.0).alias("p"),
-        F.lit(1.0).alias("own"), "dangling", "salts"))
+        F.lit(1.0).alias("own"), "salts"))
     # as many parts as the edges need; a graph that fits one part runs without shuffles
-    parts = max(1, math.ceil((n_edges + n) / cfg.rows_per_part))
+    parts = max(1, math.ceil((size["n"] + n) / cfg.rows_per_part))
     links = links.repartition(parts, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
 
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    mass, previous, done = seen["d"] / n, None, False
-    for _ in range(cfg.max_rounds):
-        ranks = ranks.coalesce(1) if parts == 1 else ranks
-        spread = ranks.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rank")
-        fresh = links.join(spread, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(
-            F.max("dangling").alias("dangling"), F.max("salts").alias("salts"),
-            F.sum(F.col("own") * F.col("rank")).alias("last"), F.sum(F.col("p") * F.col("rank")).alias("got"))
-        rank = F.lit(cfg.damping) * (F.col("got") + F.lit(mass / n)) + F.lit((1 - cfg.damping) / n)
+    k, alpha = cfg.rounds_per_write, cfg.damping
+    facts = nodes.select("node", "dangling")  # later with the constant vector's columns w0..
+    ranks = nodes.select("node", "salts", F.lit(1.0 / n).alias("v0"))
+    mass, w_mass, rounds, old = seen["d"] / n, None, 0, None
+    while True:
+        block = ranks.coalesce(1) if parts == 1 else ranks
+        for j in range(k):
+            block = _follow(block, links, j, alpha)
         path = new_path(spark, "ranks")
-        ranks, change = staged(fresh.select("node", "dangling", "salts", "last", rank.alias("rank")), "ranks", {
-            "err": F.sum(F.abs(F.col("rank") - F.col("last"))),
-            "mass": F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))}, path)
-        if previous:
-            drop_path(spark, previous)
-        previous, mass = path, change["mass"]
-        if change["err"] < n * cfg.tolerance:
-            done = True
-            break
-    links.unpersist()
-    if not done:
-        warnings.warn(f"PageRank stopped after {cfg.max_rounds} rounds without settling")
-    return ranks.select("node", F.col("rank").alias("pagerank"))
+        table, sums = staged(
+            block.join(facts, "node"), "ranks",
+            {f"d{j}": F.sum(F.when(F.col("dangling"), F.col(f"v{j}")).otherwise(0.0)) for j in range(k + 1)}, path)
+        if w_mass is None:  # the first ranks are the constant vector over n
+            w_mass = [sums[f"d{j}"] * n for j in range(k)]
+            facts = table.select("node", "dangling", *[(F.col(f"v{j}") * F.lit(float(n))).alias(f"w{j}") for j in range(k)])
+            table = table.withColumns({f"w{j}": F.col(f"v{j}") * F.lit(float(n)) for j in range(k)})
+        elif old:
+            drop_path(spark, old)
+        old = path if rounds else None  # the first table keeps the constant vector
+        masses, added = [mass], []
+        for j in range(1, k + 1):
+            added.append(alpha * masses[-1] / n + (1 - alpha) / n)
+            masses.append(sums[f"d{j}"] + sum(c * w_mass[j - 1 - i] for i, c in enumerate(added)))
+        true = [F.col("v0")]
+        for j in range(1, k + 1):
+            rank = F.col(f"v{j}")
+            for i, c in enumerate(added[:j]):
+                rank = rank + F.lit(c) * F.col(f"w{j - 1 - i}")
+            true.append(rank)
+        change = table.agg(*[F.sum(F.abs(true[j] - true[j - 1])).alias(f"e{j}") for j in range(1, k + 1)]).first()
+        usable = min(k, cfg.max_rounds - rounds)
+        last = next((j for j in range(1, usable + 1) if change[f"e{j}"] < n * cfg.tolerance), None)
+        if last is None and rounds + k < cfg.max_rounds:
+            rounds += k
+            mass, ranks = masses[k], table.select("node", "salts", true[k].alias("v0"))
+            continue
+        links.unpersist()
+        if last is None:
+            warnings.warn(f"PageRank stopped after {cfg.max_rounds} rounds without settling")
+        return table.select("node", true[last or usable].alias("pagerank"))
+
+
+def _follow(block: DataFrame, links: DataFrame, j: int, alpha: float) -> DataFrame:
+    """Next column v(j+1): what every node receives of column v(j) over its links."""
+    held = [f"v{i}" for i in range(j + 1)]
+    spread = block.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *held)
+    return links.join(spread, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(
+        F.max("salts").alias("salts"), *[F.sum(F.col("own") * F.col(v)).alias(v) for v in held],
+        (F.lit(alpha) * F.sum(F.col("p") * F.col(f"v{j}"))).alias(f"v{j + 1}"))
 
 
 def neighbourhood(edges: DataFrame, node: str, hops: int = 2) -> DataFrame:

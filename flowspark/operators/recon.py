@@ -18,7 +18,7 @@ from flowspark.config import UnsupervisedConfig
 from flowspark.functions.recon_net import Net
 from flowspark.functions.scalars import quoted
 from flowspark.operators.curves import roc_auc
-from flowspark.staging import ship_package, staged
+from flowspark.staging import ship_package, spread, staged
 
 
 def _matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -72,8 +72,8 @@ def fit_reconstruction(
     """
     ship_package(train.sparkSession)
     net = Net(len(features), cfg.bottleneck, cfg.hidden_layers, cfg.dropout, variational)
-    rows = staged(_matrix(train, features), "train")
-    val = staged(val.select(quoted(label), *[quoted(c) for c in features]), "val")
+    rows = spread(staged(_matrix(train, features), "train"))
+    val = spread(staged(val.select(quoted(label), *[quoted(c) for c in features]), "val"))
     state = np.concatenate([net.start(cfg.seed), np.zeros(2 * net.trained)])
     rate, steps, best, best_auc, wait = cfg.learning_rate, 0.0, state, -1.0, 0
     plateau_best, plateau_wait, history = -np.inf, 0, []

@@ -85,6 +85,17 @@ def release(spark: SparkSession) -> None:
     fs.delete(p, True)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table for heavy computing: when it is so small that it reads in
+    fewer parts than there are cores, its rows are dealt out to all of them,
+    by value and in order, so that the outcome does not hang on file names."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    columns = [f"`{c}`" for c in table.columns]
+    return table.repartition(cores, *columns).sortWithinPartitions(*columns)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove one staged table that nothing reads any more."""
     fs, p = file_system(spark, path)
