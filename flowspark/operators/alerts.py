@@ -13,6 +13,7 @@ from flowspark.functions.scalars import (
 )
 from flowspark.operators.curves import confusion_metrics, counts_from_cut, model_comparison
 from flowspark.operators.quantiles import exact_quantiles
+from flowspark.staging import local_table
 
 
 def assign_alerts(df: DataFrame, cfg: AlertConfig = AlertConfig(), rf: str = "rf_prob", unsup: str = "unsup_score") -> DataFrame:
@@ -95,7 +96,7 @@ def calibrate(df: DataFrame, label: str, cfg: AlertConfig = AlertConfig()) -> Al
 def alert_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows, attacks, attack ratio and share for all four levels."""
     counted = df.groupBy("alert_level_code").agg(F.count(F.lit(1)).alias("n"), F.sum(quoted(label)).cast("long").alias("a"))
-    levels = df.sparkSession.createDataFrame(list(ALERT_NAMES.items()), "alert_level_code int, alert_level string")
+    levels = local_table(df.sparkSession, list(ALERT_NAMES.items()), "alert_level_code int, alert_level string")
     all_levels = levels.join(counted, "alert_level_code", "left")  # four rows
     from pyspark.sql import Window as W
 

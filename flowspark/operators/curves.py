@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowspark.functions.scalars import as_column, quoted, share
 from flowspark.operators.ordering import running_sums, with_next
+from flowspark.staging import local_table, staged
 
 
 def score_groups(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -125,9 +126,7 @@ def counts_from_cut(df: DataFrame, score: str, label: str, cuts: Sequence[float]
     cells = bin_index(df.select(quoted(score), quoted(label)), score, cuts, "cell").groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.sum(quoted(label)).cast("long").alias("attacks")
     )
-    grid = df.sparkSession.createDataFrame(
-        [(i + 1, float(c)) for i, c in enumerate(cuts)], "cell int, cut double"
-    )
+    grid = local_table(df.sparkSession, [(i + 1, float(c)) for i, c in enumerate(cuts)], "cell int, cut double")
     full = grid.join(cells, "cell", "full_outer").na.fill(0, ["n", "attacks"])
     above = W.orderBy(F.col("cell").desc()).rowsBetween(W.unboundedPreceding, 0)  # len(cuts) + 1 rows
     return full.select(
@@ -175,8 +174,8 @@ def histogram(
     rows = df.where(v.isNotNull()).select(*by, v.alias("v"))
     if low is None:
         ranges = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        if by:  # one row per group, and groups of a histogram are classes
-            rows = rows.join(F.broadcast(ranges), list(by))
+        if by:  # written, hence of known size: copied only if it is small
+            rows = rows.join(staged(ranges, "ranges"), list(by))
         else:
             row = ranges.first()
             rows = rows.withColumns({"lo": F.lit(row.lo), "hi": F.lit(row.hi)})

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowspark.config import SUSPICIOUS_LEVELS, FlowColumns, TraceConfig
 from flowspark.functions.scalars import quoted
-from flowspark.staging import drop_path, new_path, staged
+from flowspark.staging import drop_path, local_table, new_path, staged
 
 
 def suspicious(df: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _follow(block: DataFrame, links: DataFrame, j: int, alpha: float) -> DataFra
 def neighbourhood(edges: DataFrame, node: str, hops: int = 2) -> DataFrame:
     """Nodes within ``hops`` undirected steps of a node, with their distance."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    reached = edges.sparkSession.createDataFrame([(node, 0)], "node string, hop int")
+    reached = local_table(edges.sparkSession, [(node, 0)], "node string, hop int")
     frontier = reached
     for hop in range(1, hops + 1):
         ahead = both.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()

@@ -12,9 +12,10 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowspark.functions.scalars import finite, hash_order, quoted
+from flowspark.staging import local_table
 
 _COUNTERS = 65_536  # counters brought back per round, over all ranges
 
@@ -44,10 +45,12 @@ def order_statistics(df: DataFrame, value: str, ranks: dict | Callable[[int], se
     found: dict = {}
     open_ranges: dict = {}  # (group, low, high) -> [rows below, wanted ranks]
     edges = data.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-    if not callable(ranks):
+    if not callable(ranks) and len(ranks) <= 1000:
         edges = edges.where(F.col("g").isin(list(ranks)))
     sizes = {}
-    for row in edges.collect():  # one row per wanted group
+    for row in edges.collect():  # one row per group
+        if not callable(ranks) and row.g not in ranks:
+            continue
         sizes[row.g] = row.n
         wanted = sorted({min(max(r, 0), row.n - 1) for r in (ranks(row.n) if callable(ranks) else ranks[row.g])})
         if row.lo == row.hi:
@@ -57,22 +60,21 @@ def order_statistics(df: DataFrame, value: str, ranks: dict | Callable[[int], se
             open_ranges[row.g, row.lo, row.hi] = [0, wanted]
 
     while open_ranges:
-        parts = max(64, _COUNTERS // len(open_ranges))
+        parts = max(2, _COUNTERS // len(open_ranges))
         rows, index = [], {}
         for i, (g, lo, hi) in enumerate(open_ranges):
             width = (hi - lo) // parts + 1 if whole else max((hi / 2 - lo / 2) / parts, 5e-324)
             rows.append((g, i, lo, hi, width))
             index[i] = (g, lo, hi)
-        ranges = spark.createDataFrame(
-            rows, f"g {group_type}, i int, lo {kind}, hi {kind}, width {kind}"
-        )
+        ranges = local_table(spark, rows, f"g {group_type}, i int, lo {kind}, hi {kind}, width {kind}")
         if whole:
             part = F.expr("least((v - lo) div width, %d)" % (parts - 1))
         else:
             part = F.expr("least(cast(floor((v / 2 - lo / 2) / width) as long), %d)" % (parts - 1))
-        # `ranges` has one row per open range: at most two per wanted rank
+        # one row per open range, at most two per wanted rank; a local table of
+        # exact size, so Spark's own threshold decides on copying it
         counted = (
-            data.join(F.broadcast(ranges), "g")
+            data.join(ranges, "g")
             .where("v >= lo and v <= hi")
             .groupBy("i", part.alias("part"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -128,7 +130,7 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     """One row per column and probability."""
     found = exact_quantiles(df, columns, probs)
     rows = [(c, float(p), v) for (c, p), v in found.items()]
-    return df.sparkSession.createDataFrame(rows, "feature string, prob double, value double")
+    return local_table(df.sparkSession, rows, "feature string, prob double, value double")
 
 
 def hash_cutoffs(df: DataFrame, sample_id: str, group: str, takes: dict, seed: int) -> dict:
@@ -158,9 +160,10 @@ def hash_cutoffs(df: DataFrame, sample_id: str, group: str, takes: dict, seed: i
     return cuts
 
 
-def within_cut(sample_id: str, seed: int, cut_hash, cut_id):
-    h = hash_order(sample_id, seed)
-    return (h < cut_hash) | ((h == cut_hash) & (F.col(quoted(sample_id)).cast("long") <= cut_id))
+def within_cut(sample_id: str, seed: int, cut_hash: Column, cut_id: Column) -> Column:
+    """Rows whose (hash, id) lies at or below the cut; one comparison, one hash."""
+    key = F.struct(hash_order(sample_id, seed).alias("h"), F.col(quoted(sample_id)).cast("long").alias("i"))
+    return key <= F.struct(cut_hash.cast("long").alias("h"), cut_id.cast("long").alias("i"))
 
 
 def sample_exact(df: DataFrame, n: int, sample_id: str = "sample_id", seed: int = 42) -> DataFrame:

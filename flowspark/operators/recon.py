@@ -21,6 +21,9 @@ from flowspark.operators.curves import roc_auc
 from flowspark.staging import ship_package, spread, staged
 
 
+LANES = 64  # groups in which partition states are averaged first
+
+
 def _matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[quoted(c) for c in keep], F.array(*[F.col(quoted(c)).cast("double") for c in features]).alias("__x"))
 
@@ -35,7 +38,8 @@ def _epoch(rows: DataFrame, net: Net, state: np.ndarray, steps: float, epoch: in
 
         flat = shared.value[:net.size].copy()
         first, second = shared.value[net.size:net.size + t].copy(), shared.value[net.size + t:].copy()
-        rng = np.random.default_rng([cfg.seed, epoch, TaskContext.get().partitionId()])
+        part_id = TaskContext.get().partitionId()
+        rng = np.random.default_rng([cfg.seed, epoch, part_id])
         seen, loss_sum, step = 0, 0.0, steps
         for pdf in batches:
             if not len(pdf):
@@ -49,16 +53,17 @@ def _epoch(rows: DataFrame, net: Net, state: np.ndarray, steps: float, epoch: in
                 net.adam(flat, grad, first, second, step, rate, cfg.weight_decay)
                 seen, loss_sum = seen + len(part), loss_sum + loss * len(part)
         if seen:
-            yield pd.DataFrame({"state": [np.concatenate([flat, first, second])], "rows": [float(seen)],
-                                "loss": [loss_sum], "steps": [float(step)]})
-
-    parts = rows.mapInPandas(train, "state array<double>, rows double, loss double, steps double")
-    row = parts.select(array_to_vector("state").alias("state"), "rows", "loss", "steps").agg(
-        Summarizer.mean(F.col("state"), F.col("rows")).alias("state"),
-        (F.sum("loss") / F.sum("rows")).alias("loss"),
-        (F.sum(F.col("steps") * F.col("rows")) / F.sum("rows")).alias("steps")).first()
+            yield pd.DataFrame({"lane": [part_id % LANES], "state": [np.concatenate([flat, first, second])],
+                                "rows": [float(seen)], "loss": [loss_sum], "steps": [step * seen]})
+
+    parts = rows.mapInPandas(train, "lane int, state array<double>, rows double, loss double, steps double")
+    parts = parts.withColumn("state", array_to_vector("state"))
+    sums = [F.sum(c).alias(c) for c in ("rows", "loss", "steps")]
+    mean = Summarizer.mean(F.col("state"), F.col("rows")).alias("state")
+    # partition states meet per lane first, so no task reads all of them
+    row = parts.groupBy("lane").agg(mean, *sums).agg(mean, *sums).first()
     shared.unpersist()
-    return row.state.toArray(), row.steps, row.loss
+    return row.state.toArray(), row.steps / row.rows, row.loss / row.rows
 
 
 def fit_reconstruction(

@@ -15,7 +15,7 @@ from flowspark.functions.scalars import quoted
 from flowspark.operators.clean import impute_own
 from flowspark.operators.forest import VECTOR, assemble
 from flowspark.operators.quantiles import exact_quantiles, sample_exact
-from flowspark.staging import ship_package
+from flowspark.staging import local_table, ship_package
 
 
 def _digamma(n: np.ndarray) -> np.ndarray:
@@ -99,9 +99,9 @@ def mi_binned(df: DataFrame, features: Sequence[str], label: str, bins: int = 10
     probs = [i / bins for i in range(1, bins)]
     cuts = exact_quantiles(df, features, probs)
     long = _unpivot(df, features, label).where("x is not null")
-    table = df.sparkSession.createDataFrame(
-        [(c, [cuts[c, p] for p in probs]) for c in features if cuts[c, probs[0]] is not None], "feature string, cuts array<double>")
-    long = long.join(F.broadcast(table), "feature")  # one row per feature
+    table = local_table(
+        df.sparkSession, [(c, [cuts[c, p] for p in probs]) for c in features if cuts[c, probs[0]] is not None], "feature string, cuts array<double>")
+    long = long.join(table, "feature")  # a local table, one row per feature
     cell = F.size(F.filter("cuts", lambda c: c < F.col("x")))
     counts = long.groupBy("feature", cell.alias("bin"), "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
     # from here on features x bins x classes rows
@@ -128,7 +128,7 @@ def pca_variance(df: DataFrame, features: Sequence[str], share: float = 0.95) ->
     component is needed to exceed the share."""
     model = PCA(k=len(features), inputCol=VECTOR, outputCol="pc").fit(assemble(df, features))
     ratios = [float(v) for v in model.explainedVariance.toArray()]
-    table = df.sparkSession.createDataFrame([(i + 1, v) for i, v in enumerate(ratios)], "component int, ratio double")
+    table = local_table(df.sparkSession, [(i + 1, v) for i, v in enumerate(ratios)], "component int, ratio double")
     running = F.sum("ratio").over(W.orderBy("component"))  # one row per feature
     out = table.withColumn("cumulative", running)
     return out.withColumn("needed", (F.col("cumulative") - F.col("ratio") <= F.lit(share)).cast("int"))

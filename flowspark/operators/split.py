@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from flowspark.config import FlowColumns, PrepareConfig
 from flowspark.functions.scalars import quoted
 from flowspark.operators.quantiles import hash_cutoffs, within_cut
+from flowspark.staging import local_table
 
 
 def _shares(counts: dict, total_take: int) -> dict:
@@ -61,9 +62,7 @@ def stratified_split(
     for c, (t, v, _) in quotas.items():
         rows.append((c, *cuts[c, t], *cuts[c, t + v]))
     # one row per class; its exact size lets Spark decide on the broadcast
-    limits = df.sparkSession.createDataFrame(
-        rows, "__class string, __h1 long, __i1 long, __h2 long, __i2 long"
-    )
+    limits = local_table(df.sparkSession, rows, "__class string, __h1 long, __i1 long, __h2 long, __i2 long")
     split = (
         F.when(within_cut(sid, cfg.seed, F.col("__h1"), F.col("__i1")), "train")
         .when(within_cut(sid, cfg.seed, F.col("__h2"), F.col("__i2")), "val")

@@ -11,7 +11,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession, types as T
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -85,6 +86,18 @@ def release(spark: SparkSession) -> None:
     fs.delete(p, True)
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
+          "array<double>": pa.list_(pa.float64())}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows as a table whose size Spark knows, so that its
+    broadcast threshold applies; rows passed as Python tuples have no size."""
+    fields = T.StructType.fromDDL(schema).fields
+    columns = [pa.array([r[i] for r in rows], type=_ARROW[f.dataType.simpleString()]) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=[f.name for f in fields]))
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A stored table for heavy computing: when it is so small that it reads in
     fewer parts than there are cores, its rows are dealt out to all of them,
