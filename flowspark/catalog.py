@@ -17,7 +17,8 @@ from flowspark.operators import (
     selection as se, split as sp, summary as su, thresholds as th, threat as tr)
 from flowspark.plans.supervised import supervised_score
 from flowspark.sources import flow_csv, tables
-from flowspark.staging import new_path, spread, staged
+from flowspark.staging import local_table, new_path, spread, staged
+from flowspark.streaming.alert_stream import alert_stream as streaming_alerts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -220,6 +221,26 @@ def edge_table(spark, sf):
     return rounded(ed.edge_table(fx.flows(spark, sf), SNAKE), 9, "attack_flow_ratio")
 
 
+@query(f"""with {FLOWS_SQL} select label as src_node, cast(sample_id % 500 as varchar) as dst_node, 'file' as src_node_type, 'flow' as dst_node_type,
+  {EDGE_AGG_SQL} from flows group by 1, 2""")
+def edge_table_by_file_flow(spark, sf):
+    df = fx.flows(spark, sf).drop("destination_ip").withColumns(
+        {"source_file": F.col("label"), "flow_id": (F.col("sample_id") % 500).cast("string")})
+    return rounded(ed.edge_table(df, SNAKE), 9, "attack_flow_ratio")
+
+
+@query(f"with {FLOWS_SQL} select source_ip as src_node, destination_ip as dst_node, min(flow_ts) as first_seen, max(flow_ts) as last_seen from flows group by 1, 2")
+def edge_first_last_seen(spark, sf):
+    df = fx.flows(spark, sf).drop("destination_port")
+    return ed.edge_table(df, SNAKE).select("src_node", "dst_node", "first_seen", "last_seen")
+
+
+@query(f"with {FLOWS_SQL} select source_ip as src_node, destination_ip as dst_node, round(sum(binary_label)::double / count(*), 9) as attack_flow_ratio from flows group by 1, 2")
+def edge_attack_ratio(spark, sf):
+    df = fx.flows(spark, sf).drop("destination_port")
+    return rounded(ed.edge_table(df, SNAKE).select("src_node", "dst_node", "attack_flow_ratio"), 9, "attack_flow_ratio")
+
+
 @query(f"""with {FLOWS_SQL} select label as src_node, coalesce(cast(nullif(destination_port, 7) as varchar), 'nan') as dst_node, 'file' as src_node_type, 'port' as dst_node_type,
   {EDGE_AGG_SQL} from flows group by 1, 2""")
 def edge_table_by_file_port(spark, sf):
@@ -407,6 +428,14 @@ def risk_histogram(spark, sf):
     return rounded(cu.histogram(fx.alerts(spark, sf), "risk_score", 40, 0.0, 1.0, by=["binary_label"]), 9, "bin_start", "density")
 
 
+@query(f"""with {FLOWS_SQL}, r as (select min(flow_value) as lo, max(flow_value) as hi, least(50, greatest(10, count(*) // 20)) as k from flows),
+b as (select least(cast(floor((flow_value - lo) / (hi - lo) * k) as int), cast(k as int) - 1) as bin, lo, (hi - lo) / k as width from flows, r),
+c as (select bin, any_value(lo) as lo, any_value(width) as width, count(*) as n from b group by 1)
+select bin, round(lo + bin * width, 7) as bin_start, n, round(n / (sum(n) over () * width), 9) as density from c""")
+def latency_histogram(spark, sf):
+    return rounded(rounded(cu.latency_histogram(fx.flows(spark, sf), "flow_value"), 7, "bin_start"), 9, "density")
+
+
 # --- thresholds ----------------------------------------------------------------
 
 HP = "coalesce((select threshold from pr where precision >= {t}::double order by recall desc, threshold limit 1), (select threshold from pr order by precision desc, threshold limit 1))"
@@ -514,6 +543,24 @@ def weights_3_fusion(spark, sf):
     return rounded(fu.search_weights(scored(spark, sf), ["a", "b", "c"], "y", fu.grid_three_rest(), clip=True, flat=1e-12), 9, "auc")
 
 
+PAIRS = {"A+B": ["a", "b"], "A+C": ["a", "c"], "B+C": ["b", "c"], "A+B+C": ["a", "b", "c"]}
+
+
+def fusions_sql() -> str:
+    parts = []
+    for i, (name, cols) in enumerate(PAIRS.items()):
+        grid = fu.grid_two() if len(cols) == 2 else fu.grid_three()
+        parts.append(f"select {i} as pos, '{name}' as name, auc from ({weights_sql(grid, cols)})")
+    return f"select name, auc, case when row_number() over (order by auc desc, pos) = 1 then 1 else 0 end as is_best from ({' union all '.join(parts)})"
+
+
+@query(fusions_sql())
+def fusion_choice(spark, sf):
+    found = fu.compare_fusions(staged(scored(spark, sf), "scored"), PAIRS, "y")
+    best = fu.best_fusion(found)
+    return local_table(spark, [(n, round(a, 9), int(i == best)) for i, (n, _, a) in enumerate(found)], "name string, auc double, is_best int")
+
+
 @query(f"""with {SCORES_SQL}, ref as (select min(a) as la, max(a) - min(a) as wa, min(b) as lb, max(b) - min(b) as wb, min(c) as lc, max(c) - min(c) as wc from scored where y = 0)
 select sample_id, round(0.5::double * least(greatest((a - la) / wa, 0), 1) + 0.3::double * least(greatest((b - lb) / wb, 0), 1)
   + 0.2::double * least(greatest((c - lc) / wc, 0), 1), 9) as fused from scored, ref""")
@@ -839,6 +886,20 @@ def match_labels(spark, sf):
     return rc.matched_labels(rc.match_flows(*match_tables(spark, sf)))
 
 
+@query(f"""with {ALERTS_SQL}
+select sample_id, alert_level_code, alert_level, final_binary, round(risk_score, 9) as risk_score, case when trim(label) = 'BENIGN' then 0 else 1 end as binary_label from alerts""")
+def alert_stream(spark, sf):
+    """The alert rule on the events read as a stream."""
+    schema = fx.table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = streaming_alerts(fx.as_flows(raw).drop("binary_label"), cols=SNAKE)
+    path = new_path(spark, "stream")
+    columns = ["sample_id", "alert_level_code", "alert_level", "final_binary", "risk_score", "binary_label"]
+    out.select(*columns).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-progress").start(
+        path, format="parquet", outputMode="append").awaitTermination()
+    return rounded(spark.read.parquet(path), 9, "risk_score")
+
+
 # --- reading and writing -------------------------------------------------------
 
 

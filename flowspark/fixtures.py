@@ -53,9 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow per event."""
+    return as_flows(table(spark, sf_dir, "events"))
+
+
+def as_flows(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("sample_id"), F.col("ts").cast("timestamp_ntz").alias("flow_ts"),
         F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("source_ip"),
         F.concat(F.lit("192.168.1."), (k % 16).cast("string")).alias("destination_ip"),

@@ -61,7 +61,7 @@ def _pr_points(cum: DataFrame) -> DataFrame:
 
 
 def _one_row(df: DataFrame) -> DataFrame:
-    return df.sparkSession.range(1)
+    return df.sparkSession.range(0, 1, 1, 1)
 
 
 def pr_area(df: DataFrame, score: str, label: str) -> DataFrame:

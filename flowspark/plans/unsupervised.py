@@ -85,17 +85,14 @@ def unsupervised_score(flows: DataFrame, features: Sequence[str], cfg: Unsupervi
     val = scored.where("split_binary = 'val'")
 
     table, names = scored, dict(DETECTORS)
-    found = []
     ranges = fusion.score_ranges(val, list(DETECTORS.values()))
-    for name, parts in FUSIONS.items():
-        scores = [DETECTORS[p] for p in parts]
-        grid = fusion.grid_two() if len(parts) == 2 else fusion.grid_three()
-        weights, auc = fusion.best_weights(fusion.search_weights(val, scores, label, grid))
-        table = fusion.fuse(table, scores, weights, ranges, f"fused_{len(found)}")
-        names[name] = f"fused_{len(found)}"
-        found.append((name, list(map(float, weights)), float(auc) if auc is not None else None))
-    fusions = flows.sparkSession.createDataFrame(found, "name string, weights array<double>, val_auc double")
-    best = max(range(len(found)), key=lambda i: (found[i][2] or -1.0, -i))
+    parts = {name: [DETECTORS[p] for p in members] for name, members in FUSIONS.items()}
+    found = fusion.compare_fusions(val, parts, label)
+    for i, (name, weights, _) in enumerate(found):
+        table = fusion.fuse(table, parts[name], weights, ranges, f"fused_{i}")
+        names[name] = f"fused_{i}"
+    fusions = flows.sparkSession.createDataFrame([(n, list(w), a) for n, w, a in found], "name string, weights array<double>, val_auc double")
+    best = fusion.best_fusion(found)
 
     table = staged(table, "fused")
     thresholds, metrics = {}, None

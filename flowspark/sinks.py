@@ -58,7 +58,7 @@ def manifest(spark: SparkSession, **facts) -> DataFrame:
     columns = []
     for name, value in facts.items():
         columns.append(_literal(value).alias(name))
-    return spark.range(1).select(*columns)
+    return spark.range(0, 1, 1, 1).select(*columns)
 
 
 def _literal(value) -> Column:

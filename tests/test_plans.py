@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowspark import fixtures as fx, sinks
 from flowspark.config import AlertConfig, FlowColumns, SupervisedConfig, UnsupervisedConfig
 from flowspark.operators.alerts import assign_alerts, prediction_table
-from flowspark.plans import figures, fuse, prepare, supervised, trace, unsupervised
+from flowspark.plans import figures, fuse, prepare, store, supervised, trace, unsupervised
 from flowspark.sources import tables
 from flowspark.streaming.alert_stream import alert_stream
 
@@ -61,7 +61,15 @@ def test_all_stages(spark, ready, tmp_path):
     run = fuse.fuse_and_alert(flows, sup.model, features, un.models, stored)
     assert run.predictions.count() == n_test and run.config != AlertConfig()
     assert run.metrics["test"]["alert_distribution"].agg(F.sum("count")).first()[0] == n_test
-    sinks.save_predictions(run.predictions, str(tmp_path / "p"))
+    models = str(tmp_path / "models")
+    store.save_supervised(spark, sup, features, models)
+    store.save_unsupervised(spark, un, models)
+    store.save_alert_run(spark, run, str(tmp_path / "p"))
+    forest, names, stored_models = store.load_models(spark, models)
+    again = fuse.fuse_and_alert(flows, forest, names, stored_models)
+    assert again.config == run.config and again.predictions.exceptAll(run.predictions).isEmpty()
+    weights = json.loads(next((tmp_path / "p/ensemble_config").glob("*.json")).read_text())["config"]["unsup_weights"]
+    assert sum(weights.values()) == pytest.approx(1.0)
     found = trace.trace_attacks(stored, run.predictions, run.summary)
     trace.save(found, str(tmp_path / "t"))
     ranking = spark.read.parquet(str(tmp_path / "t/attack_ip_ranking"))
@@ -88,6 +96,11 @@ def test_manifest(spark):
     assert row["n"] == 3 and row["names"] == ["a"] and row["none"] is None and row["t"] == {"x": 0.5, "y": None} and row["created_at"]
 
 
+def test_missing_models(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="load_models"):
+        store.load_models(spark, str(tmp_path))
+
+
 def test_medium_export_only_when_needed(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.9, 0.9, 1), (2, 0.0, 0.1, 0)], "sample_id long, rf_prob double, unsup_score double, y int")
     sinks.save_predictions(prediction_table(assign_alerts(df), "y"), str(tmp_path))
