@@ -46,7 +46,7 @@ def main() -> None:
         run(catalog.QUERIES[name](spark, sf_dir))
         seconds[name] = round(time.perf_counter() - t0, 3)
 
-    # scoring alone, with the published number of trees
+    # scoring alone, with 400 trees of depth 8 (default trees are deeper, so not like for like)
     rows = catalog._model_rows(spark, sf_dir)
     model = forest.fit_forest(rows.where("split_binary = 'val'"), catalog.FEATURES, catalog.MANY_TREES)
     n = rows.count()
@@ -57,7 +57,7 @@ def main() -> None:
     release(spark)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-        "sf": os.path.basename(sf_dir.rstrip("/")), "forest_400_trees_flows_per_second": round(n / scoring, 1)}))
+        "sf": os.path.basename(sf_dir.rstrip("/")), "forest_400_trees_depth_8_flows_per_second": round(n / scoring, 1)}))
 
 
 if __name__ == "__main__":
