@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flowspark.functions.scalars import quoted
 from flowspark.staging import drop_path, new_path, ship_package, staged
@@ -37,6 +40,23 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in names])
 
 
+def append_column(docs: DataFrame, of: str, name: str, kind: T.DataType, make: Callable[[Iterator[pa.RecordBatch], int], Iterator[tuple[pa.RecordBatch, pa.Array]]]) -> DataFrame:
+    """``docs`` with the column ``name`` (replacing one of that name) that
+    ``make`` computes from column ``of``: it gets a partition's batches and the
+    place of ``of`` and gives parts of them with the new values. Columns travel
+    under plain names, so any names will do."""
+    docs = without(docs, name)
+    names, at = docs.columns, docs.columns.index(of)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, values in make(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, "new"])
+
+    schema = T.StructType([*plain.schema.fields, T.StructField("new", kind)])
+    return plain.mapInArrow(run, schema).toDF(*names, name)
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder that can be dropped one
     by one as soon as what was made of them is itself written."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from flowspark.llm import lines, mixing
+from flowspark.llm import lines, mixing, pieces, quality, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op3_sentencepiece": pieces.query,
+    "op6_simhash": simhash.query,
+    "op7_quality": quality.query,
+    "op8_toxicity": toxicity.query,
     "op10_line_dedup": lines.query,
 }
 
