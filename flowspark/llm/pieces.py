@@ -37,16 +37,23 @@ def _powers(n: int) -> np.ndarray:
 
 
 def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of all prefixes of the rows of ``codes``."""
-    h = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-    for i in range(codes.shape[1]):
-        h[:, i + 1] = h[:, i] * _BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
+    """Polynomial hashes of all prefixes of the columns of ``codes``."""
+    h = np.zeros((codes.shape[0] + 1, codes.shape[1]), np.uint64)
+    for i, c in enumerate(codes.astype(np.uint64)):
+        h[i + 1] = h[i] * _BASE + c + np.uint64(1)
     return h
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Code points of words of one length, a row each."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+    """Code points of words of one length, a column each."""
+    return np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).T)
+
+
+_SLOTS = 20  # bits of a hash that tell whether a search is worth it
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return keys >> np.uint64(64 - _SLOTS)
 
 
 @dataclass(frozen=True)
@@ -58,6 +65,7 @@ class Vocabulary:
     ids: np.ndarray  # their ids
     scores: np.ndarray  # their scores
     byte_ids: np.ndarray  # id of each byte
+    hit: np.ndarray  # whether any key has these first bits
     joins: np.ndarray  # sorted character pairs that some piece holds
     longest: int
     alone: str  # white space characters that no longer piece holds
@@ -66,18 +74,20 @@ class Vocabulary:
     def unknown(self) -> float:
         return float(self.scores.min()) - _UNKNOWN_PENALTY
 
-    def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key among the sorted piece keys, -1 if none."""
-        at = np.searchsorted(self.keys, keys)
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are pieces, and their places among the sorted keys."""
+        rows = np.flatnonzero(self.hit[_slots(keys)])
+        at = np.searchsorted(self.keys, keys[rows])
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, -1)
+        same = self.keys[at] == keys[rows]
+        return rows[same], at[same]
 
-    def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(end, length, piece index or -1 per word) in order of end, then length."""
+    def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(end, length, words, pieces) in order of end, then length."""
         h, powers = _prefix_hashes(codes), _powers(self.longest)
-        for end in range(1, codes.shape[1] + 1):
+        for end in range(1, len(codes) + 1):
             for n in range(1, min(end, self.longest) + 1):
-                yield end, n, self.probe(h[:, end] - h[:, end - n] * powers[n])
+                yield end, n, *self.probe(h[end] - h[end - n] * powers[n])
 
     def split(self, word: str) -> list[str]:
         """A word cut between characters that no piece joins."""
@@ -115,36 +125,37 @@ def load_vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
     lengths = np.array([len(s) for s, _ in plain])
     keys = np.zeros(len(plain), np.uint64)
     for length in np.unique(lengths):
-        keys[lengths == length] = _prefix_hashes(_codes([s for s, _ in plain if len(s) == length]))[:, -1]
+        keys[lengths == length] = _prefix_hashes(_codes([s for s, _ in plain if len(s) == length]))[-1]
     order = np.argsort(keys)
     if (np.diff(keys[order]) == 0).any():
         raise ValueError("two pieces share a hash")
     scores = np.array([p.get_score(i) for _, i in plain])
     scores = np.where(scores > -1e8, scores, scores[scores > -1e8].min())  # runs of blanks have no real score
+    hit = np.zeros(1 << _SLOTS, bool)
+    hit[_slots(keys)] = True
     pairs = sorted({ord(a) << 32 | ord(b) for s, _ in plain for a, b in zip(s, s[1:], strict=False)})
     held = {c for s, _ in plain if len(s) > 1 for c in s}
-    return Vocabulary(tuple(texts), keys[order], np.array([i for _, i in plain], np.int32)[order], scores[order], byte_ids, np.array(pairs, np.uint64),
+    return Vocabulary(tuple(texts), keys[order], np.array([i for _, i in plain], np.int32)[order], scores[order], byte_ids, hit, np.array(pairs, np.uint64),
                       max(len(s) for s, _ in plain), "".join(c for c in "\n\t\r\v\f" if c not in held))
 
 
 def best_paths(words: list[str], v: Vocabulary) -> list[bytes]:
     """Piece ids of words of one length, as little-endian int32."""
     codes = _codes(words)
-    n, length = codes.shape
+    length, n = codes.shape
     best = np.full((length + 1, n), -np.inf)
     best[0] = 0
     step, piece = np.ones((length + 1, n), np.int32), np.zeros((length + 1, n), np.int32)
-    for end, size, found in v.arcs(codes):
+    for end, size, rows, at in v.arcs(codes):
         if size == 1:
             # an unknown character is kept as its code point below zero
-            best[end] = best[end - 1] + np.where(found >= 0, v.scores[found], v.unknown)
-            piece[end] = np.where(found >= 0, v.ids[found], -1 - codes[:, end - 1].astype(np.int32))
+            best[end], piece[end] = best[end - 1] + v.unknown, -1 - codes[end - 1].astype(np.int32)
+            best[end, rows], piece[end, rows] = best[end - 1, rows] + v.scores[at], v.ids[at]
             continue
-        rows = np.flatnonzero(found >= 0)
-        score = best[end - size, rows] + v.scores[found[rows]]
+        score = best[end - size, rows] + v.scores[at]
         won = score >= best[end, rows]
         rows = rows[won]
-        best[end, rows], step[end, rows], piece[end, rows] = score[won], size, v.ids[found[rows]]
+        best[end, rows], step[end, rows], piece[end, rows] = score[won], size, v.ids[at[won]]
     path, used = np.zeros((n, length), np.int32), np.zeros((n, length), bool)
     at, rows = np.full(n, length), np.arange(n)
     for k in range(length - 1, -1, -1):

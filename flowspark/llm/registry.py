@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowspark.llm import lines, mixing, pieces, quality, simhash, toxicity
+from flowspark.llm import lines, lm, mixing, pieces, quality, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_quality": quality.query,
     "op8_toxicity": toxicity.query,
+    "op9_lm": lm.query,
     "op10_line_dedup": lines.query,
 }
 
