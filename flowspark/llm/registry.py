@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from flowspark.llm import lines, lm, mixing, pieces, quality, simhash, toxicity
+from flowspark.llm import ann, lines, lm, mixing, pieces, quality, simhash, toxicity, vector_dups
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_ann": ann.query,
     "op3_sentencepiece": pieces.query,
+    "op5_vector_dups": vector_dups.query,
     "op6_simhash": simhash.query,
     "op7_quality": quality.query,
     "op8_toxicity": toxicity.query,
@@ -16,5 +18,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op5_vector_dups": vector_dups.ORACLE,
     "op10_line_dedup": lines.ORACLE,
 }
