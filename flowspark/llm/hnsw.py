@@ -14,12 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 
 LINKS, BUILD_BEAM, BATCH, TOP = 16, 48, 1024, 128
+_EXTRA = 8
 
 
 @dataclass
 class Level:
     points: np.ndarray  # places in the whole point table
-    links: np.ndarray  # (n, LINKS) places within the level, -1 where none
+    links: np.ndarray  # (n, LINKS or a few more) places within the level, -1 where none
 
 
 def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +78,40 @@ def _keep(ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
+def _connected(x: np.ndarray, links: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """``links`` with extra columns so that pruning cuts no point off: a point
+    to which none of its own neighbours links back is hung on the nearest of
+    few such, then what ``roots`` cannot reach on the most similar that they can."""
+    n = len(links)
+    extra, used, seen, front = np.full((n, _EXTRA), -1), np.zeros(n, int), np.zeros(n + 1, bool), np.unique(roots)
+    seen[n] = True
+    for i in range(0, n, BATCH):
+        to = links[i : i + BATCH]
+        back = (np.where((to >= 0)[:, :, None], links[to], -1) == np.arange(i, i + len(to))[:, None, None]).any((1, 2))
+        for u in (np.flatnonzero(~back) + i).tolist():
+            at = [v for v in links[u].tolist() if v >= 0 and used[v] < _EXTRA]
+            if at:
+                best = max(at, key=lambda v: float(x[v] @ x[u]))
+                extra[best, used[best]] = u
+                used[best] += 1
+    while True:
+        while len(front):
+            seen[front] = True
+            front = np.unique(np.concatenate([links[front].ravel(), extra[front].ravel()]))
+            front = front[~seen[front]]
+        cut_off = np.flatnonzero(~seen[:n])
+        if not len(cut_off):
+            return np.concatenate([links, extra[:, : max(1, used.max(initial=0))]], 1) if used.any() else links
+        # a share of them at a time, as one that is hung brings others along
+        for u in cut_off[: max(1, len(cut_off) // 2)]:
+            sims = x @ x[u]
+            sims[~seen[:n] | (used >= _EXTRA)] = -np.inf
+            at = int(sims.argmax())
+            extra[at, used[at]] = u
+            used[at] += 1
+        front = cut_off[: max(1, len(cut_off) // 2)]
+
+
 class Graph:
     def __init__(self, x: np.ndarray, levels: list[Level]):
         self.x, self.levels = x, levels
@@ -127,7 +162,7 @@ class Graph:
             back[twice], bs[twice] = -1, -np.inf
             links[touched], sims[touched] = _keep(np.concatenate([links[touched], back], 1), np.concatenate([sims[touched], bs], 1))
             done += size
-        return Level(points, links)
+        return Level(points, _connected(x, links, np.linspace(0, n - 1, min(4, n)).astype(int)))
 
     def _entries(self, q: np.ndarray, points: np.ndarray, done: int) -> np.ndarray:
         """Where to start on a level of ``points`` of which ``done`` stand."""

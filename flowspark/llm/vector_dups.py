@@ -43,7 +43,7 @@ def _hits(graph: Graph, q: np.ndarray, own: np.ndarray | None, config: Config) -
     """(query, point) pairs that may link, beams widened until audits pass."""
     n, near = len(graph.x), config.least - _SLACK
     audit = np.random.default_rng(config.seed).permutation(len(q))[: config.audits]
-    wanted = graph.x @ q[audit].T >= near  # (points, audits)
+    wanted = graph.x @ q[audit].T >= near + _SLACK / 2  # (points, audits), clear of rounding
     beam = min(config.beam, n)
     while True:
         pairs, todo, width = [], np.arange(len(q)), beam
