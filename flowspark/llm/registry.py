@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from flowspark.llm import ann, lines, lm, mixing, pieces, quality, simhash, toxicity, vector_dups
+from flowspark.llm import ann, lines, lm, mixing, passages, pieces, quality, simhash, toxicity, vector_dups
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_ann": ann.query,
     "op3_sentencepiece": pieces.query,
+    "op4_passages": passages.query,
     "op5_vector_dups": vector_dups.query,
     "op6_simhash": simhash.query,
     "op7_quality": quality.query,
