@@ -1,0 +1,171 @@
+"""Classifiers by held-out accuracy, language-model scores and passages against brute force."""
+
+from __future__ import annotations
+
+import itertools
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from flowspark.llm import lm, passages, pieces, quality, toxicity
+
+SF = "/root/testdata/sf0.1"
+
+
+def _auc(y, score):
+    rank = np.argsort(np.argsort(score)) + 1
+    ones = y.sum()
+    return (rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))
+
+
+@pytest.mark.parametrize(("module", "label", "least"), [(quality, "quality", 0.98), (toxicity, "toxic", 0.93)])
+def test_held_out(spark, module, label, least):
+    got = module.query(spark, SF).toPandas()
+    mod, fold = module.MOD, module.HELD_OUT
+    assert len(got) == 10000 and got.score.between(0, 1).all() and ((got.score >= module.CUT) == got.predicted).all()
+    assert got.held_out.tolist() == [zlib.crc32(str(i).encode()) % mod == fold for i in got.doc_id]
+    both = got[got.held_out].merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
+    assert _auc(both[label].values, both.score.values) >= least
+
+
+@pytest.mark.parametrize(("module", "add"), [(quality, quality.with_quality), (toxicity, toxicity.with_toxicity)])
+def test_classifier_awkward(spark, awkward, nothing, module, add):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)] + [(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = module.fit(awkward, labels)
+    out = add(awkward, model, name="score.x")
+    assert out.columns == awkward.columns and out.count() == awkward.count()
+    assert out.where("`score.x` is null or `score.x` < 0 or `score.x` > 1").count() == 0
+    empty = out.where("doc_id in (3, 4)").select("`score.x`").distinct()
+    assert empty.count() == 1  # null scores like empty
+    none = module.fit(nothing, labels.limit(0))
+    assert {r["s"] for r in add(awkward, none, name="s").select("s").collect()} == {0.5}
+    assert add(nothing, model, name="s").count() == 0
+
+
+def test_long_text_is_seen_whole():
+    """A network that looks for one byte finds it anywhere, and slices of characters overlap."""
+    c = quality.Config(filters=1)
+    taps = np.zeros((4, 256, 1), np.float32)
+    taps[0, ord("!"), 0] = 1
+    model = quality.Model(c, taps, np.zeros(1, np.float32), np.array([0, 5, -2], np.float32))
+    texts = ["x" * 3_000_000 + "!", "!" + "x" * 3_000_000, "x" * 3_000_000, "", None, "!"]
+    assert (quality.score_texts(texts, model, model.pairs()) > 0.5).tolist() == [True, True, False, False, False, True]
+    t = toxicity.Config(orders=(6,), bits=16)
+    word = np.concatenate(list(toxicity.ngram_ids("abcdef", t)))
+    for at in (0, toxicity._SLICE - 3, toxicity._SLICE - 1):
+        ids = np.concatenate(list(toxicity.ngram_ids("z" * at + "abcdef" + "z" * 50, t)))
+        assert set(word[1:2].tolist()) <= set(ids.tolist()) and len(ids) == at + 56 + 2 - 5
+
+
+def test_base_scores(spark, documents):
+    got = {r["doc_id"]: r for r in lm.score_documents(documents, config=lm.Config(frequent=50, rounds=1)).collect()}
+    tokens = {r["doc_id"]: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"])), None] for r in documents.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    counts = Counter(t for i, ts in tokens.items() if not held[i] for t in ts)
+    n, v = sum(counts.values()), len(counts)
+    assert got.keys() == tokens.keys()
+    for i, ts in tokens.items():
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ts), sum(t in counts for t in ts), n)
+        assert math.isclose(r["base_score"], sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts), rel_tol=1e-9)
+        assert -1e6 < r["score"] < 0
+
+
+def test_lattice_brute_force():
+    """Every spelling counts: against enumeration of all segmentations."""
+    v = pieces.load_vocabulary()
+    lattice = lm.start_lattice(v)
+    text_of = {v.texts[i].decode(): p for i, p in zip(v.ids.tolist(), lattice.pieces.tolist(), strict=True)}
+
+    def brute(text):
+        total = 0.0
+        for cuts in itertools.product([0, 1], repeat=len(text) - 1):
+            edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(text)]
+            logs = [text_of.get(text[i:j], lattice._unknown(np.array([ord(text[i])]))[0] if j - i == 1 else -np.inf) for i, j in zip(edges, edges[1:])]
+            total += math.exp(sum(logs))
+        return math.log(total)
+
+    words = ["the", "cat", "naïve", "𝔘x", "running", "a"]
+    got = lattice.log_probabilities([w.encode() for w in words])
+    assert np.allclose(got, [brute(" " + w) for w in words])
+    # expected uses: one unit of probability is spread over the spellings, whose lengths in characters add up
+    uses, byte = np.zeros(len(v.keys)), np.zeros(256)
+    for places, codes in lattice.groups([b"running"]):
+        lattice.uses(codes, np.ones(len(places)), uses, byte)
+    lengths = np.array([len(v.texts[i].decode()) for i in v.ids])
+    assert math.isclose((uses * lengths).sum(), len(" running"), rel_tol=1e-9)
+
+
+def test_refitting_raises_the_likelihood(spark, documents):
+    counts = lm.word_counts(documents.withColumn("held_out", documents.doc_id < 0))
+    rows = [(r["word"], r["c"]) for r in counts.collect() if r["word"]]
+    total = []
+    for rounds in (0, 1, 3):
+        lattice = lm.fit(counts, lm.Config(rounds=rounds))
+        total.append(float(lattice.log_probabilities([bytes(w) for w, _ in rows]) @ np.array([c for _, c in rows])))
+    assert total[0] < total[1] < total[2]
+
+
+def test_lm_awkward(awkward, nothing):
+    out = lm.score_documents(awkward, config=lm.Config(rounds=1)).toPandas()
+    assert len(out) == awkward.count() and out[out.doc_id.isin([3, 4, 5])].n_tokens.tolist() == [1, 1, 1]
+    assert np.isfinite(out[["score", "base_score"]].values).all()
+    assert lm.score_documents(nothing, config=lm.Config(rounds=1)).count() == 0
+
+
+def _words(rng, n):
+    return [f"w{int(i)}" for i in rng.integers(0, 5000, n)]
+
+
+def test_passages_planted(spark, awkward, nothing):
+    rng = np.random.default_rng(9)
+    passage, rows = _words(rng, 60), []
+    for i in range(40):
+        own, at = _words(rng, 200), int(rng.integers(0, 200))
+        if i < 12:
+            part = list(passage)
+            if i >= 6:  # fuzzy: a word changed, one left out, one put in
+                part[20] = f"x{i}"
+                del part[30]
+                part.insert(45, f"y{i}")
+            own[at:at] = part
+        rows.append((i, " ".join(own)))
+    rows += [(100, rows[20][1]), (101, rows[20][1].upper()), (102, " ".join(_words(rng, 20)))]
+    out = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert set(out.doc_id) | set(out.other_id) == {*range(12), 20, 100, 101}
+    texts = {i: t.lower().split() for i, t in rows}
+    for r in out.itertuples():
+        assert r.similarity >= 0.8 and min(r.last - r.first, r.other_last - r.other_first) >= 50
+        if {r.doc_id, r.other_id} <= set(range(6)):
+            assert texts[r.doc_id][r.first : r.last] == texts[r.other_id][r.other_first : r.other_last] == passage
+    whole = out[out.doc_id.isin([100, 101])]
+    assert whole.other_id.tolist() == [20, 20] and (whole["last"] == 200).all()
+    assert passages.shared_passages(nothing).count() == 0
+    assert passages.shared_passages(awkward).count() == 0
+
+
+def test_all_long_repeats_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = passages.shared_passages(docs).toPandas()
+    where = {}
+    for r in docs.collect():
+        words = r["text"].lower().split()
+        for j in range(len(words) - 50):
+            where.setdefault(hash(tuple(words[j : j + 51])), set()).add(r["doc_id"])
+    want = set().union(*[w for w in where.values() if len(w) > 1])
+    assert want and want <= set(out.doc_id) | set(out.other_id)
+
+
+def test_chains_against_all_subsets():
+    rng = np.random.default_rng(2)
+    c = passages.Config()
+    for _ in range(20):
+        a, b = rng.integers(0, 60, 9), rng.integers(0, 60, 9)
+        best = max((len(s) - c.gap * ((a[s[-1]] - a[s[0]]) + (b[s[-1]] - b[s[0]])) for n in range(1, 10) for s in map(list, itertools.combinations(np.lexsort((b, a)).tolist(), n))
+                    if all(a[i] < a[j] and b[i] < b[j] for i, j in zip(s, s[1:]))), default=0)
+        found = passages.chains(a, b, passages.Config(least_anchors=1))[0]
+        assert math.isclose(len(found) - c.gap * (a[found[-1]] - a[found[0]] + b[found[-1]] - b[found[0]]), best)
