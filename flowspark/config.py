@@ -11,6 +11,9 @@ CONFIRMED_LEVELS = ("CRITICAL", "HIGH")
 BENIGN = "BENIGN"
 
 
+# The well-known column names and the default cut points below.
+
+
 @dataclass(frozen=True)
 class FlowColumns:
     """Names of the well-known columns of a flow table."""
@@ -90,7 +93,7 @@ class SupervisedConfig:
 class UnsupervisedConfig:
     columns: FlowColumns = FlowColumns()
     mi_top_k: int = 50
-    mi_sample: int = 100_000
+    mi_sample: int | None = None  # rows the nearest-neighbour estimate draws; none: all
     mi_neighbours: int = 3
     pca_variance: float = 0.95
     iforest_trees: int = 300
@@ -141,7 +144,8 @@ class TraceConfig:
     max_rounds: int = 100
     hot_degree: int = 1_000_000  # out-edges per source above which its edges are salted
     rounds_per_write: int = 6  # rank rounds run as one job
-    rows_per_part: int = 1_000_000  # graph rows per partition of the rank iteration
+    graph_parts: int | None = None  # partitions of the rank iteration; none: spark.sql.shuffle.partitions
+    on_unsettled: str = "warn"  # or "error": ranks that still change after max_rounds
     timeline_sources: int = 20
     max_edges: int = 500
     top_targets: int = 10

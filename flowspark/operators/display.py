@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from flowspark.config import SUSPICIOUS_LEVELS, TraceConfig
 from flowspark.functions.scalars import hour_bin, quoted
 from flowspark.operators.graph import _with_ends, suspicious
+from flowspark.staging import staged
 
 # Colours of roles and edges.
 ROLE_COLOURS = {"attacker": "#e74c3c", "suspect": "#f39c12", "victim": "#3498db", "normal": "#95a5a6"}
@@ -79,6 +80,7 @@ def timeline(df: DataFrame, ranking: DataFrame, cfg: TraceConfig = TraceConfig()
     ip, ts = F.col(quoted(cols.src_ip)), F.col(quoted(cols.timestamp))
     rows = suspicious(df).where(ip.isin(*names) & ts.isNotNull())
     counts = rows.groupBy(hour_bin(ts).cast("timestamp_ntz").alias("hour_bin"), ip.alias("source_ip")).agg(F.count(F.lit(1)).alias("flows"))
+    counts = staged(counts, "timeline")  # a row per shown source and hour, read twice below
     seen = sorted((r.source_ip for r in counts.select("source_ip").distinct().collect()), key=names.get)
     wide = counts.groupBy("hour_bin").agg(
         *[F.coalesce(F.sum(F.when(F.col("source_ip") == s, F.col("flows"))), F.lit(0)).alias(f"c{i}") for i, s in enumerate(seen)])

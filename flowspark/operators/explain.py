@@ -138,8 +138,8 @@ def mean_contributions(contrib: DataFrame, top: int | None = 30) -> DataFrame:
     return out if top is None else out.limit(top)
 
 
-def explain_forest(model, df: DataFrame, features: Sequence[str], sample_id: str = "sample_id", max_rows: int = 2000, seed: int = 42) -> DataFrame:
-    """Top features on a sample; ``max_rows <= 0`` explains all rows."""
+def explain_forest(model, df: DataFrame, features: Sequence[str], sample_id: str = "sample_id", max_rows: int | None = None, seed: int = 42) -> DataFrame:
+    """Top features over all rows, or over a sample of ``max_rows``."""
     filled = impute_own(df, features)
-    rows = sample_exact(filled, max_rows, sample_id, seed) if max_rows > 0 else filled
+    rows = sample_exact(filled, max_rows, sample_id, seed) if max_rows else filled
     return mean_contributions(contributions(model, rows, features, sample_id))

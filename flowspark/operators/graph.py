@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Sequence
 
@@ -63,6 +62,9 @@ def graph_stats(edges: DataFrame, ranking: DataFrame) -> DataFrame:
     return roles.select(F.explode(F.concat(counts, sizes)).alias("s")).select("s.stat", F.col("s.n").cast("long").alias("n"))
 
 
+_PRE_SALTS = 16  # parts of a source's edges before its degree is known
+
+
 def pagerank(edges: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
     """PageRank over weighted edges (src, dst, weight) -> (node, pagerank).
 
@@ -77,7 +79,7 @@ def pagerank(edges: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
     Edges stay partitioned by source over all rounds; sources with very many
     edges are salted, and only their ranks are repeated per salt.
     """
-    edges, size = staged(edges.select("src", "dst", F.col("weight").cast("double")), "edges", {"n": F.count(F.lit(1))})
+    edges = staged(edges.select("src", "dst", F.col("weight").cast("double")), "edges")
     spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("weight").alias("strength"), F.count(F.lit(1)).alias("degree"))
     salts = F.greatest(F.ceil(F.coalesce("degree", F.lit(0)) / F.lit(cfg.hot_degree)), F.lit(1)).cast("int")
@@ -91,22 +93,31 @@ def pagerank(edges: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
 
     # every node also links to itself without passing rank: that link carries
     # the node's own columns, so a round needs one join and one aggregation
-    links = edges.join(out.where("strength <> 0").withColumn("salts", salts), "src").select(
+    # a source with very many edges meets its strength in several tasks
+    pre = F.pmod(F.xxhash64("dst"), F.lit(_PRE_SALTS)).cast("int")
+    known = out.where("strength <> 0").withColumn("salts", salts).withColumn("__pre", F.explode(F.sequence(F.lit(0), F.lit(_PRE_SALTS - 1))))
+    links = edges.withColumn("__pre", pre).join(known, ["src", "__pre"]).select(
         "src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
         (F.col("weight") / F.col("strength")).alias("p"), F.lit(0.0).alias("own"), F.lit(None).cast("int").alias("salts"))
     links = links.unionByName(nodes.select(
         F.col("node").alias("src"), F.lit(0).alias("salt"), F.col("node").alias("dst"), F.lit(0.0).alias("p"),
         F.lit(1.0).alias("own"), "salts"))
-    # as many parts as the edges need; a graph that fits one part runs without shuffles
-    parts = max(1, math.ceil((size["n"] + n) / cfg.rows_per_part))
+    parts = cfg.graph_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = links.repartition(parts, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
 
+    try:
+        return _iterate(spark, nodes, links, n, seen["d"] / n, cfg)
+    finally:
+        links.unpersist()
+
+
+def _iterate(spark, nodes: DataFrame, links: DataFrame, n: int, mass: float, cfg: TraceConfig) -> DataFrame:
     k, alpha = cfg.rounds_per_write, cfg.damping
     facts = nodes.select("node", "dangling")  # later with the constant vector's columns w0..
     ranks = nodes.select("node", "salts", F.lit(1.0 / n).alias("v0"))
-    mass, w_mass, rounds, old = seen["d"] / n, None, 0, None
+    w_mass, rounds, old = None, 0, None
     while True:
-        block = ranks.coalesce(1) if parts == 1 else ranks
+        block = ranks
         for j in range(k):
             block = _follow(block, links, j, alpha)
         path = new_path(spark, "ranks")
@@ -137,9 +148,11 @@ def pagerank(edges: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
             rounds += k
             mass, ranks = masses[k], table.select("node", "salts", true[k].alias("v0"))
             continue
-        links.unpersist()
         if last is None:
-            warnings.warn(f"PageRank stopped after {cfg.max_rounds} rounds without settling")
+            message = f"PageRank stopped after {cfg.max_rounds} rounds without settling"
+            if cfg.on_unsettled == "error":
+                raise RuntimeError(message)
+            warnings.warn(message)
         return table.select("node", true[last or usable].alias("pagerank"))
 
 
@@ -153,14 +166,15 @@ def _follow(block: DataFrame, links: DataFrame, j: int, alpha: float) -> DataFra
 
 
 def neighbourhood(edges: DataFrame, node: str, hops: int = 2) -> DataFrame:
-    """Nodes within ``hops`` undirected steps of a node, with their distance."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    reached = local_table(edges.sparkSession, [(node, 0)], "node string, hop int")
-    frontier = reached
+    """Nodes within ``hops`` undirected steps of a node, with their distance.
+    Edges, frontier and reached nodes are written each hop, so that the plan of
+    a hop reads three tables however many went before."""
+    both = staged(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both-ways")
+    reached = frontier = local_table(edges.sparkSession, [(node, 0)], "node string, hop int")
     for hop in range(1, hops + 1):
         ahead = both.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = ahead.join(reached, "node", "left_anti").select("node", F.lit(hop).alias("hop"))
-        reached = reached.unionByName(frontier)
+        frontier = staged(ahead.join(reached, "node", "left_anti").select("node", F.lit(hop).alias("hop")), "frontier")
+        reached = staged(reached.unionByName(frontier), "reached")
     return reached
 
 

@@ -38,12 +38,13 @@ def schema_difference(generated: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def flow_id_variants(src: str, dst: str, sport: str, dport: str, proto: str) -> Column:
-    """The four spellings of a flow id, in the order they are tried."""
+    """The four spellings of a flow id, in the order they are tried; null when a
+    part is missing, as such a row has no id."""
     a, b = F.col(quoted(src)).cast("string"), F.col(quoted(dst)).cast("string")
     x, y = F.col(quoted(sport)).cast("int").cast("string"), F.col(quoted(dport)).cast("int").cast("string")
     p = F.col(quoted(proto)).cast("int").cast("string")
     orders = ((b, a, y, x), (b, a, x, y), (a, b, x, y), (a, b, y, x))
-    return F.array_distinct(F.array(*[F.concat_ws("-", *o, p) for o in orders]))
+    return F.array_distinct(F.array(*[F.concat(*[x for part in o for x in (part, F.lit("-"))], p) for o in orders]))
 
 
 def first_labels(labelled: DataFrame, row_id: str = "sample_id", flow_id: str = "Flow ID", label: str = "Label") -> DataFrame:

@@ -80,7 +80,8 @@ def _unpivot(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
 
 def mi_knn(df: DataFrame, features: Sequence[str], label: str, sample_id: str = "sample_id", cfg: UnsupervisedConfig = UnsupervisedConfig()) -> DataFrame:
-    """Information per feature on a sample of bounded size, one task per feature."""
+    """Information per feature by nearest neighbours, one task per feature: for
+    tables whose columns fit a task, or on a sample of ``cfg.mi_sample`` rows."""
     ship_package(df.sparkSession)
     k, seed = cfg.mi_neighbours, cfg.seed
 
@@ -90,7 +91,7 @@ def mi_knn(df: DataFrame, features: Sequence[str], label: str, sample_id: str =
         mi = knn_information(rows["x"].to_numpy(), rows["y"].to_numpy(), k, rng) if len(rows) else 0.0
         return pd.DataFrame({"feature": [key[0]], "mi": [mi]})
 
-    sample = sample_exact(df, cfg.mi_sample, sample_id, seed)
+    sample = df if cfg.mi_sample is None else sample_exact(df, cfg.mi_sample, sample_id, seed)
     return _unpivot(sample, features, label).groupBy("feature").applyInPandas(estimate, "feature string, mi double")
 
 
@@ -120,7 +121,7 @@ def select_features(df: DataFrame, features: Sequence[str], label: str, sample_i
     """The most informative features, or all of them when k is out of range."""
     if not 0 < cfg.mi_top_k < len(features):
         return list(features)
-    return [r.feature for r in top_features(mi_knn(df, features, label, sample_id, cfg), "mi", cfg.mi_top_k).collect()]
+    return [r.feature for r in top_features(mi_binned(df, features, label), "mi", cfg.mi_top_k).collect()]
 
 
 def pca_variance(df: DataFrame, features: Sequence[str], share: float = 0.95) -> DataFrame:
@@ -134,9 +135,10 @@ def pca_variance(df: DataFrame, features: Sequence[str], share: float = 0.95) ->
     return out.withColumn("needed", (F.col("cumulative") - F.col("ratio") <= F.lit(share)).cast("int"))
 
 
-def pca_plane(df: DataFrame, features: Sequence[str], keep: Sequence[str], sample_id: str = "sample_id", rows: int = 8000, seed: int = 42) -> DataFrame:
-    """First two components of a centred sample, with the kept columns."""
-    sample = impute_own(sample_exact(df, rows, sample_id, seed), features)
+def pca_plane(df: DataFrame, features: Sequence[str], keep: Sequence[str], sample_id: str = "sample_id", rows: int | None = None, seed: int = 42) -> DataFrame:
+    """First two components of the centred rows (of a sample when ``rows`` is
+    given), with the kept columns."""
+    sample = impute_own(df if rows is None else sample_exact(df, rows, sample_id, seed), features)
     means = sample.agg(*[F.avg(quoted(c)) for c in features]).first()
     centred = sample.withColumns({c: F.col(quoted(c)) - F.lit(m) for c, m in zip(features, means)})
     data = assemble(centred, features, keep)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowspark.config import FlowColumns, PrepareConfig
 from flowspark.functions.scalars import quoted
+from flowspark.operators.ordering import row_numbers
 from flowspark.operators.quantiles import hash_cutoffs, within_cut
 from flowspark.staging import local_table
 
@@ -55,6 +56,8 @@ def stratified_split(
     sid = cfg.columns.sample_id
     keyed = df.withColumn("__class", F.col(quoted(label)).cast("string"))
     counts = {r["__class"]: r["n"] for r in keyed.groupBy("__class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if None in counts:
+        raise ValueError(f"{counts[None]} rows have no class in {label!r}: drop or name them before splitting")
     quotas = split_quotas(counts, cfg)
     takes = {c: [t, t + v] for c, (t, v, _) in quotas.items()}
     cuts = hash_cutoffs(keyed, sid, "__class", takes, cfg.seed)
@@ -110,8 +113,6 @@ def class_balance(df: DataFrame, cols: FlowColumns = FlowColumns()) -> DataFrame
 
 
 def label_mapping(df: DataFrame, cols: FlowColumns = FlowColumns()) -> DataFrame:
-    """Distinct labels numbered from 0 in sorted order (classes are few)."""
-    from pyspark.sql import Window as W
-
+    """Distinct labels numbered from 0 in sorted order."""
     labels = df.select(F.col(quoted(cols.label)).cast("string").alias("label")).distinct()
-    return labels.select((F.row_number().over(W.orderBy("label")) - 1).alias("code"), "label")
+    return row_numbers(labels, [F.col("label").asc()], "code").select(F.col("code").cast("int").alias("code"), "label")

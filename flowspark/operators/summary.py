@@ -8,7 +8,7 @@ from flowspark.config import FlowColumns
 from flowspark.functions.scalars import quoted, to_timestamp
 
 
-def test_rows(df: DataFrame) -> DataFrame:
+def rows_of_test(df: DataFrame) -> DataFrame:
     """Rows of the test split, all rows when the table has no split."""
     return df.where(F.col("split_binary") == "test") if "split_binary" in df.columns else df
 
@@ -19,7 +19,7 @@ def flow_detail(trace: DataFrame, preds: DataFrame, cols: FlowColumns = FlowColu
     fresh = [c for c in preds.columns if c == cols.sample_id or c not in trace.columns]
     if cols.timestamp in trace.columns and isinstance(trace.schema[cols.timestamp].dataType, T.StringType):
         trace = trace.withColumn(cols.timestamp, to_timestamp(cols.timestamp))
-    return test_rows(trace).join(preds.select(*[quoted(c) for c in fresh]), cols.sample_id, "inner")
+    return rows_of_test(trace).join(preds.select(*[quoted(c) for c in fresh]), cols.sample_id, "inner")
 
 
 def _mean(c: str) -> Column:

@@ -8,7 +8,7 @@ from flowspark.operators import alerts, curves
 from flowspark.operators.quantiles import sample_exact
 
 
-def figure_tables(preds: DataFrame, theta_rf: float = 0.5, sample_id: str = "sample_id", max_rows: int = 80_000) -> dict[str, DataFrame]:
+def figure_tables(preds: DataFrame, theta_rf: float = 0.5, sample_id: str = "sample_id", max_rows: int | None = None) -> dict[str, DataFrame]:
     """Confusion counts, curves, calibration, sweep, histograms and alert shares
     of stored predictions. Score histograms use a sample when asked to."""
     out: dict[str, DataFrame] = {"confusion": curves.confusion_counts(

@@ -40,9 +40,15 @@ def read_split(spark: SparkSession, path: str, split: str, column: str = "split_
 
 
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Only the given columns, optionally of the first rows only."""
-    df = align_features(read_table(spark, path), columns)
-    return df if rows is None else df.limit(rows)
+    """Only the given columns, optionally of as many rows, smallest values
+    first; the whole table with a warning when one of the columns is absent."""
+    df = read_table(spark, path)
+    absent = [c for c in columns if c not in df.columns]
+    if absent:
+        warnings.warn(f"columns {absent} are absent from {path}, reading all columns")
+    else:
+        df = align_features(df, columns)
+    return df if rows is None else df.orderBy(*[F.col(quoted(c)) for c in df.columns]).limit(rows)
 
 
 def read_feature_names(spark: SparkSession, path: str) -> list[str]:

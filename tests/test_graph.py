@@ -26,7 +26,7 @@ def power_iteration(rows, alpha=0.85, tol=1e-6):
             return dict(zip(names, x))
 
 
-@pytest.mark.parametrize("cfg", [TraceConfig(), TraceConfig(hot_degree=1), TraceConfig(rows_per_part=2, hot_degree=2), TraceConfig(rounds_per_write=1), TraceConfig(rounds_per_write=3)])
+@pytest.mark.parametrize("cfg", [TraceConfig(), TraceConfig(hot_degree=1), TraceConfig(graph_parts=3, hot_degree=2), TraceConfig(rounds_per_write=1), TraceConfig(rounds_per_write=3)])
 def test_pagerank_with_a_dangling_node(spark, cfg):
     df = spark.createDataFrame(EDGES, "src string, dst string, weight double")
     got = {r.node: r.pagerank for r in graph.pagerank(df, cfg).collect()}
