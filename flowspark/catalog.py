@@ -723,6 +723,13 @@ def campaigns(spark, sf):
     return ca.campaigns(df, short_ranking(df, ATT), SNAKE)
 
 
+@query(f"""with {CAMP_SQL} select source_ip as ip, 'unknown' as attack_type, count(*) as total_flows, null::timestamp as start_time, null::timestamp as end_time,
+  count(distinct destination_ip) as n_targets from hot group by 1""")
+def campaigns_unlabelled(spark, sf):
+    df = fx.alerts(spark, sf)
+    return ca.campaigns(df.drop("label"), short_ranking(df, ATT), SNAKE)
+
+
 @query(f"""with {CAMP_SQL} select source_ip as ip, label as attack_type, destination_ip as target, count(*) as flows,
   count(*) filter (where alert_level = 'CRITICAL') as critical, count(*) filter (where alert_level = 'HIGH') as high,
   count(*) filter (where alert_level = 'MEDIUM') as medium, concat(source_ip, ' -> ', destination_ip) as path {CAMP_WHERE} group by 1, 2, 3, 8""")
@@ -936,6 +943,15 @@ def csv_row_ids(spark, sf):
     return out.select("row_id", F.col("Idle Mean").cast("double").alias("n"))
 
 
+@query(f"""with {FLOWS_SQL} select count(*) as n_rows, 0::bigint as first_id, count(*) - 1 as last_id, count(*) as n_ids from flows""")
+def csv_row_ids_all(spark, sf):
+    """Row numbers over the files of all folders: dense, none twice."""
+    path = written_csvs(spark, sf)
+    files = [f for i in range(3) for f in flow_csv.list_csv(spark, f"{path}/{i}")]
+    out = flow_csv.with_sample_id(flow_csv.read_flow_csvs(spark, files), "row_id")
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count_distinct("row_id").alias("n_ids"))
+
+
 @query(f"""with {FLOWS_SQL} select count(*) as n_rows, count(*) filter (where label <> 'PortScan') as n_with_score, min(flow_ts) as first_seen, max(flow_ts) as last_seen from flows""")
 def csv_merge(spark, sf):
     path = written_csvs(spark, sf)
@@ -983,11 +999,43 @@ def json_round_trip(spark, sf):
     return spark.read.schema("sample_id long, v double, label string").json(path)
 
 
+@query(f"""with {ALERTS_SQL} select 'predictions' as stored, sample_id, alert_level from alerts union all
+select 'suspicious_flows_medium', sample_id, alert_level from alerts where alert_level = 'MEDIUM'""")
+def prediction_sink(spark, sf):
+    path = new_path(spark, "predictions")
+    sinks.save_predictions(fx.alerts(spark, sf), path)
+    out = None
+    for name in ("predictions", "suspicious_flows_medium"):
+        part = spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("stored"), "sample_id", "alert_level")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""with {ALERTS_SQL} select sample_id, label from alerts where sample_id % 7 = 0""")
+def trace_inputs(spark, sf):
+    """Stored trace tables read back: the test split of the trace rows."""
+    path, df = new_path(spark, "trace"), fx.alerts(spark, sf)
+    split = F.when(F.col("sample_id") % 7 == 0, "test").otherwise("train")
+    sinks.write_table(ed.trace_metadata(df, SNAKE).withColumn("split_binary", split), f"{path}/trace_metadata", by=["split_binary"])
+    sinks.write_table(df.select("sample_id", "alert_level"), f"{path}/predictions")
+    sinks.write_table(df.groupBy("source_ip").agg(F.count(F.lit(1)).alias("total_flows")), f"{path}/ip_summary")
+    return tables.load_trace_inputs(spark, path)["trace_metadata"].select("sample_id", "label")
+
+
+@query(ORACLES["edge_table"])
+def edge_sink(spark, sf):
+    """The edge table as the preparation stores it, read back."""
+    path = new_path(spark, "stored")
+    split = F.when(F.col("sample_id") % 7 == 0, "test").otherwise("train")
+    sinks.save_prepared(fx.flows(spark, sf).withColumn("split_binary", split), ["flow_value"], path, SNAKE)
+    return rounded(spark.read.parquet(f"{path}/trace_edges"), 9, "attack_flow_ratio")
+
+
 # --- models --------------------------------------------------------------------
 
 SMALL = SupervisedConfig(columns=SNAKE, num_trees=20, max_depth=8, boost_rounds=10, boost_depth=5)
 MANY_TREES = SupervisedConfig(columns=SNAKE, num_trees=400, max_depth=8)
-BRIEF = UnsupervisedConfig(columns=SNAKE, iforest_trees=100, epochs=3)
+BRIEF = UnsupervisedConfig(columns=SNAKE, epochs=3)
 
 
 def _model_rows(spark, sf):
@@ -1034,9 +1082,16 @@ def tree_shap(spark, sf):
     return ex.explain_forest(model, df.where("split_binary = 'test'"), FEATURES)
 
 
-@query()
-def mi_knn(spark, sf):
-    return se.mi_knn(_model_rows(spark, sf), FEATURES, "binary_label", cfg=BRIEF)
+@query("select 0.0::double as largest_gap")
+def shap_additivity(spark, sf):
+    """Base plus contributions against the score of every test row."""
+    df = _model_rows(spark, sf)
+    model = fo.fit_forest(df.where("split_binary = 'train'"), FEATURES, SMALL)
+    test = staged(clean.impute_own(df.where("split_binary = 'test'"), FEATURES), "test")
+    parts = ex.contributions(model, test, FEATURES, "sample_id").groupBy("id").agg((F.first("base") + F.sum("contribution")).alias("whole"))
+    scores = fo.score_attacks(model, test, FEATURES, ["sample_id"])
+    both = scores.join(parts, scores.sample_id == parts.id)
+    return both.agg(F.round(F.max(F.abs(F.col("attack_prob") - F.col("whole"))), 6).alias("largest_gap"))
 
 
 MI_BINS = [i / 10 for i in range(1, 10)]

@@ -93,8 +93,6 @@ class SupervisedConfig:
 class UnsupervisedConfig:
     columns: FlowColumns = FlowColumns()
     mi_top_k: int = 50
-    mi_sample: int | None = None  # rows the nearest-neighbour estimate draws; none: all
-    mi_neighbours: int = 3
     pca_variance: float = 0.95
     iforest_trees: int = 300
     iforest_sample: int = 256

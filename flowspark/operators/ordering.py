@@ -55,6 +55,15 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str, start: int =
     )
 
 
+def with_ids(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as it is when it has the id column ``name``, else written once
+    with the number of each row in stored order."""
+    if name in df.columns:
+        return df
+    place = F.monotonically_increasing_id()
+    return staged(row_numbers(df.withColumn("__stored_order", place), [F.col("__stored_order")], name).drop("__stored_order"), "ids")
+
+
 def running_sums(
     df: DataFrame, order: Sequence[Column], sums: dict[str, str], keys: Sequence[str] = ()
 ) -> DataFrame:

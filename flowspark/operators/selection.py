@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -15,63 +13,7 @@ from flowspark.functions.scalars import quoted
 from flowspark.operators.clean import impute_own
 from flowspark.operators.forest import VECTOR, assemble
 from flowspark.operators.quantiles import exact_quantiles, sample_exact
-from flowspark.staging import local_table, ship_package
-
-
-def _digamma(n: np.ndarray) -> np.ndarray:
-    """Digamma at positive whole numbers."""
-    harmonic = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, int(n.max()) + 1))])
-    return harmonic[n.astype(int) - 1] - np.euler_gamma
-
-
-def _within(order: np.ndarray, v: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Points of a sorted array no further than r from v. Sums round, so the
-    ends found by search are settled by the distances themselves."""
-    n = len(order)
-    high = np.searchsorted(order, v + r, side="right")
-    low = np.searchsorted(order, v - r, side="left")
-    while True:
-        shrink = (high > 0) & (order[np.maximum(high, 1) - 1] - v > r)
-        grow = ~shrink & (high < n) & (order[np.minimum(high, n - 1)] - v <= r)
-        up = (low < n) & (v - order[np.minimum(low, n - 1)] > r)
-        down = ~up & (low > 0) & (v - order[np.maximum(low, 1) - 1] <= r)
-        if not (shrink.any() or grow.any() or up.any() or down.any()):
-            return high - low
-        high = high - shrink + grow
-        low = low + up - down
-
-
-def knn_information(x: np.ndarray, y: np.ndarray, k: int, rng: np.random.Generator) -> float:
-    """Nearest-neighbour estimate of the information between a number and a class."""
-    spread = x.std()
-    x = x / spread if spread > 0 else x
-    x = x + 1e-10 * max(1.0, float(np.abs(x).mean())) * rng.standard_normal(len(x))
-    radius, ks, sizes, points = [], [], [], []
-    for c in np.unique(y):
-        v = np.sort(x[y == c])
-        n = len(v)
-        if n < 2:
-            continue
-        near = min(k, n - 1)
-        best = np.full(n, np.inf)
-        for back in range(near + 1):  # windows of near + 1 sorted points around each one
-            low = np.arange(n) - back
-            high = low + near
-            ok = (low >= 0) & (high < n)
-            reach = np.maximum(v[ok] - v[low[ok]], v[high[ok]] - v[ok])
-            best[ok] = np.minimum(best[ok], reach)
-        points.append(v)
-        radius.append(np.nextafter(best, 0))
-        ks.append(np.full(n, near))
-        sizes.append(np.full(n, n))
-    if not points:
-        return 0.0
-    v, r = np.concatenate(points), np.concatenate(radius)
-    order = np.sort(v)
-    inside = _within(order, v, r)
-    value = (_digamma(np.array([len(v)]))[0] + _digamma(np.concatenate(ks)).mean()
-             - _digamma(np.concatenate(sizes)).mean() - _digamma(inside).mean())
-    return max(0.0, float(value))
+from flowspark.staging import local_table
 
 
 def _unpivot(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -79,22 +21,6 @@ def _unpivot(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return df.select(F.col(quoted(label)).cast("int").alias("y"), F.explode(cells).alias("e")).select("y", "e.*")
 
 
-def mi_knn(df: DataFrame, features: Sequence[str], label: str, sample_id: str = "sample_id", cfg: UnsupervisedConfig = UnsupervisedConfig()) -> DataFrame:
-    """Information per feature by nearest neighbours, one task per feature: for
-    tables whose columns fit a task, or on a sample of ``cfg.mi_sample`` rows."""
-    ship_package(df.sparkSession)
-    k, seed = cfg.mi_neighbours, cfg.seed
-
-    def estimate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna().sort_values(["x", "y"])
-        rng = np.random.default_rng([seed, *key[0].encode()])
-        mi = knn_information(rows["x"].to_numpy(), rows["y"].to_numpy(), k, rng) if len(rows) else 0.0
-        return pd.DataFrame({"feature": [key[0]], "mi": [mi]})
-
-    sample = df if cfg.mi_sample is None else sample_exact(df, cfg.mi_sample, sample_id, seed)
-    return _unpivot(sample, features, label).groupBy("feature").applyInPandas(estimate, "feature string, mi double")
-
-
 def mi_binned(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """Information between quantile-binned features and the class over all rows."""
     probs = [i / bins for i in range(1, bins)]
@@ -117,7 +43,7 @@ def top_features(ranking: DataFrame, score: str, k: int) -> DataFrame:
     return ranking.orderBy(F.col(score).desc(), "feature").limit(k)
 
 
-def select_features(df: DataFrame, features: Sequence[str], label: str, sample_id: str = "sample_id", cfg: UnsupervisedConfig = UnsupervisedConfig()) -> list[str]:
+def select_features(df: DataFrame, features: Sequence[str], label: str, cfg: UnsupervisedConfig = UnsupervisedConfig()) -> list[str]:
     """The most informative features, or all of them when k is out of range."""
     if not 0 < cfg.mi_top_k < len(features):
         return list(features)

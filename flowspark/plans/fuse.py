@@ -11,6 +11,7 @@ from flowspark.config import AlertConfig, FlowColumns
 from flowspark.operators import alerts, fusion
 from flowspark.operators.clean import impute_own
 from flowspark.operators.forest import score_attacks
+from flowspark.operators.ordering import with_ids
 from flowspark.operators.summary import ensemble_summary, flow_detail
 from flowspark.plans.unsupervised import DETECTORS, UnsupervisedModels, raw_scores
 from flowspark.staging import staged
@@ -51,6 +52,7 @@ def fuse_and_alert(
     cfg: AlertConfig = AlertConfig(), cols: FlowColumns = FlowColumns(),
 ) -> AlertRun:
     """Weights and cuts from validation; alerts, metrics and source summary for test."""
+    flows = with_ids(flows, cols.sample_id)
     val, test = (staged(both_scores(flows.where(F.col("split_binary") == s), forest, features, models, cols), s) for s in ("val", "test"))
     scores, label = list(DETECTORS.values()), cols.binary_label
     weights, _ = fusion.best_weights(fusion.search_weights(val, scores, label, fusion.grid_three_rest(), clip=True, flat=1e-12))

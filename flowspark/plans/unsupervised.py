@@ -13,6 +13,7 @@ from flowspark.operators import fusion
 from flowspark.operators.alerts import per_class_recall
 from flowspark.operators.clean import column_medians, impute, scale_stats, standardise
 from flowspark.operators.iforest import fit_iforest, score_iforest
+from flowspark.operators.ordering import with_ids
 from flowspark.operators.recon import fit_reconstruction, score_reconstruction
 from flowspark.operators.selection import pca_variance, select_features
 from flowspark.operators.thresholds import as_dict, evaluate_bundle, flag_columns, threshold_bundle
@@ -51,7 +52,7 @@ def fit_unsupervised(flows: DataFrame, features: Sequence[str], cfg: Unsupervise
     cols = cfg.columns
     label = cols.binary_label
     train = flows.where("split_binary = 'train'")
-    chosen = select_features(train, features, label, cols.sample_id, cfg)
+    chosen = select_features(train, features, label, cfg)
     benign = train.where(F.col(quoted(label)) == 0)
     medians = column_medians(benign, chosen)
     benign = impute(benign, medians)
@@ -78,6 +79,7 @@ def unsupervised_score(flows: DataFrame, features: Sequence[str], cfg: Unsupervi
     """Fit, score, fuse; thresholds from validation, flags for the test split."""
     cols = cfg.columns
     label, sid = cols.binary_label, cols.sample_id
+    flows = with_ids(flows, sid)
     models, pca, history = fit_unsupervised(flows, features, cfg)
     held = flows.where("split_binary in ('val', 'test')")
     keep = [c for c in (sid, label, cols.label, "split_binary") if c in flows.columns]

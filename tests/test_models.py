@@ -121,25 +121,6 @@ def test_pca_plane_is_centred(blobs):
     assert row.n == 300 and row.a == pytest.approx(0, abs=1e-9) and row.b == pytest.approx(0, abs=1e-9)
 
 
-def brute_information(x, y, k):
-    x = x / x.std()
-    radius = np.array([np.nextafter(np.sort(np.abs(x[y == y[i]] - x[i]))[k], 0) for i in range(len(x))])
-    inside = np.array([(np.abs(x - x[i]) <= radius[i]).sum() for i in range(len(x))])
-    size = np.array([(y == c).sum() for c in y])
-
-    def psi(n):
-        return np.array([np.sum(1 / np.arange(1, v)) - np.euler_gamma for v in np.atleast_1d(n)])
-
-    return psi(len(x))[0] + psi(k)[0] - psi(size).mean() - psi(inside).mean()
-
-
-def test_nearest_neighbour_information():
-    rng = np.random.default_rng(0)
-    y = (rng.random(400) < 0.3).astype(int)
-    x = rng.normal(size=400) + 1.5 * y
-    assert selection.knn_information(x, y, 3, rng) == pytest.approx(brute_information(x, y, 3), abs=1e-6)
-
-
 def test_informative_feature_comes_first(blobs):
     df = blobs.withColumn("good", F.col("binary_label") + F.rand(1) * 0.5)
     cfg = UnsupervisedConfig(mi_top_k=1)
