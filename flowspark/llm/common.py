@@ -40,21 +40,22 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in names])
 
 
-def append_column(docs: DataFrame, of: str, name: str, kind: T.DataType, make: Callable[[Iterator[pa.RecordBatch], int], Iterator[tuple[pa.RecordBatch, pa.Array]]]) -> DataFrame:
-    """``docs`` with the column ``name`` (replacing one of that name) that
+def append_columns(docs: DataFrame, of: str, new: dict[str, T.DataType], make: Callable[[Iterator[pa.RecordBatch], int], Iterator[tuple]]) -> DataFrame:
+    """``docs`` with the columns ``new`` (replacing those of these names) that
     ``make`` computes from column ``of``: it gets a partition's batches and the
-    place of ``of`` and gives parts of them with the new values. Columns travel
-    under plain names, so any names will do."""
-    docs = without(docs, name)
+    place of ``of`` and gives (part of a batch, values of each new column).
+    Columns travel under plain names, so any names will do."""
+    docs = without(docs, *new)
     names, at = docs.columns, docs.columns.index(of)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, values in make(batches, at):
-            yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, "new"])
+        for part, *values in make(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, *values], names=[*part.schema.names, *added])
 
-    schema = T.StructType([*plain.schema.fields, T.StructField("new", kind)])
-    return plain.mapInArrow(run, schema).toDF(*names, name)
+    added = [f"n{i}" for i in range(len(new))]
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(n, kind) for n, kind in zip(added, new.values(), strict=True)]])
+    return plain.mapInArrow(run, schema).toDF(*names, *new)
 
 
 class Scratch:

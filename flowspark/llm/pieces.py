@@ -21,13 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowspark.llm.common import append_column
+from flowspark.llm.common import append_columns
 from flowspark.staging import ship_package
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 300_000  # words a worker remembers
-_CHARS = 1 << 23  # characters encoded at a time, but one text at least
+_CHARS = 1 << 22  # characters encoded at a time, but one text at least
 _LONG = 48  # words of more characters are cut again between characters that no piece joins
 _UNKNOWN_PENALTY = 10.0
 
@@ -190,7 +190,7 @@ class Encoder:
             new.setdefault(len(p), []).append(p)
         done: dict[str, bytes] = {}
         for length, group in new.items():
-            rows = max(1, (1 << 20) // (length + 1))
+            rows = max(1, (1 << 19) // (length + 1))
             for i in range(0, len(group), rows):
                 part = group[i : i + rows]
                 done.update(zip(part, best_paths(part, self.v), strict=True))
@@ -237,21 +237,37 @@ def _parts(batch: pa.RecordBatch, at: int, weight: int) -> Iterator[pa.RecordBat
         yield batch.slice(i, j - i)
 
 
-def encode(docs: DataFrame, text: str = "text", name: str = "pieces", model_file: str = MODEL_FILE) -> DataFrame:
+class Decoder:
+    def __init__(self, texts: tuple[bytes, ...]):
+        self.texts = texts
+
+    def __call__(self, ids: np.ndarray) -> str:
+        ids = ids[(ids >= 0) & (ids < len(self.texts))]
+        raw = b"".join(map(self.texts.__getitem__, ids.tolist()))
+        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, text: str = "text", name: str = "pieces", restored: str | None = None, model_file: str = MODEL_FILE) -> DataFrame:
     """``docs`` with the piece ids of ``text`` in ``name`` (array<int>,
     replacing a column of that name). A blank is put before a text; blanks are
     kept. Characters that no piece covers become byte pieces, so every text
-    comes back from ``decode``. Null gives null, an empty text no ids."""
+    comes back from ``decode``. Null gives null, an empty text no ids.
+
+    With ``restored`` the ids are decoded again where they are made, and the
+    column of this name tells whether that gave the text (true for null)."""
     ship_package(docs.sparkSession)
     v = load_vocabulary(model_file)
 
-    def make(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-        encoder = _encoder(v)
+    def make(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple]:
+        encoder, decoder = _encoder(v), Decoder(v.texts)
         for batch in batches:
             for part in _parts(batch, at, _CHARS):
-                yield part, _id_lists(encoder(part.column(at).to_pylist()))
+                texts = part.column(at).to_pylist()
+                blobs = encoder(texts)
+                same = [pa.array([b is None or decoder(np.frombuffer(b, np.int32)) == t for b, t in zip(blobs, texts, strict=True)], pa.bool_())] if restored else []
+                yield part, _id_lists(blobs), *same
 
-    return append_column(docs, text, name, T.ArrayType(T.IntegerType()), make)
+    return append_columns(docs, text, {name: T.ArrayType(T.IntegerType())} | ({restored: T.BooleanType()} if restored else {}), make)
 
 
 def decode(docs: DataFrame, pieces: str = "pieces", name: str = "decoded", model_file: str = MODEL_FILE) -> DataFrame:
@@ -259,27 +275,22 @@ def decode(docs: DataFrame, pieces: str = "pieces", name: str = "decoded", model
     column of that name). Control ids, null ids and ids outside the vocabulary
     give nothing; broken UTF-8 gives replacement characters. Null gives null."""
     ship_package(docs.sparkSession)
-    texts = load_vocabulary(model_file).texts
-
-    def shown(ids: np.ndarray) -> str:
-        ids = ids[(ids >= 0) & (ids < len(texts))]
-        raw = b"".join(map(texts.__getitem__, ids.tolist()))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+    decoder = Decoder(load_vocabulary(model_file).texts)
 
-    def make(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    def make(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple]:
         for batch in batches:
             for part in _parts(batch, at, _CHARS):
                 lists = part.column(at)
-                # offsets of a sliced array point into the whole values; null ids become one outside the vocabulary
-                values, offsets = lists.values.fill_null(-1).to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                out = [shown(values[offsets[k] : offsets[k + 1]]) if ok else None for k, ok in enumerate(lists.is_valid().to_pylist())]
+                offsets = lists.offsets.to_numpy()  # they point into the values of the whole batch
+                values = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+                offsets = offsets - offsets[0]  # null ids have become one outside the vocabulary
+                out = [decoder(values[offsets[k] : offsets[k + 1]]) if ok else None for k, ok in enumerate(lists.is_valid().to_pylist())]
                 yield part, pa.array(out, pa.string())
 
-    return append_column(docs, pieces, name, T.StringType(), make)
+    return append_columns(docs, pieces, {name: T.StringType()}, make)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs))
-    return out.select("doc_id", F.greatest(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
-                      F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+    out = encode(docs, restored="restored")
+    return out.select("doc_id", F.greatest(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "restored")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowspark.llm.common import Scratch, append_column, col, crc_bucket
+from flowspark.llm.common import Scratch, append_columns, col, crc_bucket
 from flowspark.llm.labelled import fitted_rows, labelled_sample
 
 MOD, HELD_OUT, CUT = 5, 0, 0.3
@@ -185,7 +185,7 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text", name: str =
                 part = batch.slice(i, 256)
                 yield part, pa.array(score_texts(part.column(at).to_pylist(), model, pairs), pa.float64())
 
-    return append_column(docs, text, name, T.DoubleType(), make)
+    return append_columns(docs, text, {name: T.DoubleType()}, make)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowspark.llm.common import Scratch, append_column, col, crc_bucket
+from flowspark.llm.common import Scratch, append_columns, col, crc_bucket
 from flowspark.llm.labelled import fitted_rows, labelled_sample
 
 _SLICE = 1 << 18  # characters hashed at a time
@@ -158,7 +158,7 @@ def with_toxicity(docs: DataFrame, model: Model, text: str = "text", name: str =
         for batch in batches:
             yield batch, pa.array(score_texts(batch.column(at).to_pylist(), model, table), pa.float64())
 
-    return append_column(docs, text, name, T.DoubleType(), make)
+    return append_columns(docs, text, {name: T.DoubleType()}, make)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

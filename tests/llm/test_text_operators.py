@@ -141,6 +141,7 @@ def test_pieces_round_trip(documents, awkward, nothing):
         out = pieces.decode(pieces.encode(docs))
         assert out.columns == [*docs.columns, "pieces", "decoded"]
         assert out.where("not (decoded <=> text)").count() == 0
+        assert pieces.encode(docs, restored="same").where("not same or same is null").count() == 0
     assert pieces.decode(pieces.encode(nothing)).count() == 0
 
 
