@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowspark.llm.lines import line_dedup
 from flowspark.llm.mixing import mixed_documents
-from flowspark.llm.pieces import decode, encode
+from flowspark.llm.pieces import encode
 from flowspark.llm.simhash import drop_near_copies
 from flowspark.llm.toxicity import drop_toxic
 from flowspark.staging import staged
@@ -42,9 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text and whether they give the text back."""
-    out = decode(encode(docs))
-    return out.select("doc_id", "lang", "source", F.greatest(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces",
-                      F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+    out = encode(docs, restored="restored")
+    return out.select("doc_id", "lang", "source", F.greatest(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", "restored")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("simhash", near_copies), ("mixing", mix), ("sentencepiece", pieces)]
