@@ -31,7 +31,7 @@ MOD, HELD_OUT = 7, 2
 END = b""  # words are never empty, so this stands for the end of a text
 _WORDS = 1 << 16  # distinct words worked out at a time
 _FLUSH = 1 << 18  # distinct words a task gathers before it sends their counts on
-_KEPT = 400_000  # word scores a worker remembers
+_KEPT = 400_000  # scores of rare words a worker remembers
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,9 @@ _memory: dict[str, dict[bytes, float]] = {}
 def _text_rows(docs: DataFrame, lattice: Lattice, common: dict[bytes, int], run_id: str) -> DataFrame:
     """Per row its id, fold, tokens, score, and of its words: the base sum and
     number of known tokens over frequent words, and the rest as (key, n)."""
-    logs = {w: (float(np.log10(c + 1)), c) for w, c in common.items()}
+    spelled = [w for w in common if w]
+    scores = dict(zip(spelled, lattice.log_probabilities(spelled).tolist(), strict=True)) | {END: lattice.end}
+    logs = {w: (float(np.log10(c + 1)), scores[w]) for w, c in common.items()}
     end = lattice.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,22 +205,24 @@ def _text_rows(docs: DataFrame, lattice: Lattice, common: dict[bytes, int], run_
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 counts = [Counter(words_of(t)) for t in part.column(1).to_pylist()]
-                new = list(set().union(*counts) - known.keys())
+                rare_words = set().union(*counts) - logs.keys()
+                new = list(rare_words - known.keys())
                 if len(known) + len(new) > _KEPT:
                     known.clear()
-                    new = list(set().union(*counts))
+                    new = list(rare_words)
                 for k in range(0, len(new), _WORDS):
                     known.update(zip(new[k : k + _WORDS], lattice.log_probabilities(new[k : k + _WORDS]).tolist(), strict=True))
                 tokens, score, base, hits, keys, numbers, sizes = [], [], [], [], [], [], [0]
                 for words in counts:
-                    words_score, s, h = end, logs.get(END, (0.0, 0))[0], int(END in logs)
+                    words_score, s, h = end, logs.get(END, (0.0, 0.0))[0], int(END in logs)
                     for w, n in words.items():
-                        words_score += n * known[w]
                         x = logs.get(w)
                         if x is None:
+                            words_score += n * known[w]
                             keys.append(xxhash.xxh64_intdigest(w, 42))
                             numbers.append(n)
                         else:
+                            words_score += n * x[1]
                             s += n * x[0]
                             h += n
                     tokens.append(sum(words.values()) + 1)
