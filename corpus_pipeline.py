@@ -19,8 +19,14 @@ from flowspark.llm.toxicity import drop_toxic
 from flowspark.staging import staged
 
 
+def _few_rows_a_batch(spark: SparkSession) -> None:
+    """Texts are long rows: fewer of them at a time go to the Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity cut."""
+    _few_rows_a_batch(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -32,6 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
+    _few_rows_a_batch(spark)
     return drop_near_copies(docs)
 
 
@@ -42,6 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text and whether they give the text back."""
+    _few_rows_a_batch(spark)
     out = encode(docs, restored="restored")
     return out.select("doc_id", "lang", "source", F.greatest(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", "restored")
 
