@@ -31,9 +31,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, less the lines that are boilerplate of its source;
-    ``n_chars`` follows the text."""
-    return line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Every document, less the lines that are boilerplate of its source, where
+    copies of a text count once: they only go in the next stage; ``n_chars``
+    follows the text."""
+    return line_dedup(docs, count_copies=False).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,14 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, count_copies: bool = True) -> DataFrame:
     """One row per site with boilerplate: site and its line keys."""
-    pages = docs.select(col(host).alias(_HOST), col(text).alias("__t"))
+    keys = F.array_distinct(F.transform(F.filter(_lines(col(text)), lambda x: F.trim(x) != ""), _key)).alias("__ld_keys")
+    pages = docs.select(col(host).alias(_HOST), keys, *([] if count_copies else [F.md5(col(text)).alias("__ld_t")]))
+    if not count_copies:
+        pages = pages.groupBy(_HOST, "__ld_t").agg(F.first("__ld_keys").alias("__ld_keys"))
     counts = (
-        pages.select(_HOST, F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("__t")), lambda x: F.trim(x) != ""), _key))).alias(_KEY))
+        pages.select(_HOST, F.explode("__ld_keys").alias(_KEY))
         .groupBy(_HOST, _KEY).agg(F.count(F.lit(1)).alias(_N)).where(F.col(_N) >= min_pages))
     totals = pages.groupBy(_HOST).agg(F.count(F.lit(1)).alias("__ld_pages")).withColumnRenamed(_HOST, "__ld_h")
     return (
@@ -37,19 +40,22 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
         .groupBy(_HOST).agg(F.sort_array(F.collect_set(_KEY)).alias(_BOILER)))
 
 
-def line_dedup(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, count_copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines cut out of ``text``.
 
     Adds ``n_lines`` and ``n_dropped`` (replacing input columns of these
     names). Lines are cut at line feeds and compared without outer blanks;
     blank lines stay and count in ``n_lines`` only. A line repeated on a page
     counts once for it. Rows with a null site form one site. Null texts stay
-    null with 0 lines; repeated rows count as pages of their own. The order of
-    the lines that stay is kept, empty tables give empty results.
+    null with 0 lines; repeated rows count as pages of their own. Without
+    ``count_copies`` equal texts of a site are one page, in the lines' counts
+    and in the site's total, so that copies of a document do not make its lines
+    boilerplate. The order of the lines that stay is kept, empty tables give
+    empty results.
     """
     spark = docs.sparkSession
     docs = without(docs, "n_lines", "n_dropped")
-    boiler = Scratch(spark, "lines").write(boilerplate(docs, text, host, ratio, min_pages), "boilerplate")
+    boiler = Scratch(spark, "lines").write(boilerplate(docs, text, host, ratio, min_pages, count_copies), "boilerplate")
     lines = _lines(col(text))
     kept = F.filter(F.col(_LINES), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(_BOILER), _key(x)))
     joined = docs.join(boiler, col(host).eqNullSafe(F.col(_HOST)), "left").withColumn(_LINES, lines)

@@ -78,3 +78,13 @@ def test_pieces_give_texts_back(stages):
     encoder = pieces.Encoder(pieces.load_vocabulary())
     for r in after.limit(50).collect():
         assert r["pieces"] == np.frombuffer(encoder([texts[r["doc_id"]]])[0], np.int32).tolist()
+
+
+def test_copies_keep_one_document(spark):
+    """Two documents with many copies on one site: a copy of each is left after SimHash, whole but for the menu."""
+    rows = [(i, f"menu\nown words of page {i} and {i * i}", "site") for i in range(40)]
+    texts = ["\n".join(f"{kind} line {k} tells of things {k * 7} and more" for k in range(30)) for kind in ("first", "second")]
+    rows += [(100 * (t + 1) + c, "menu\n" + text, "site") for t, text in enumerate(texts) for c in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_copies(spark, staged(corpus_pipeline.lines(spark, docs, SF), "lines"), SF).collect()}
+    assert [out.get(100), out.get(200)] == texts and sum(i >= 100 for i in out) == 2
