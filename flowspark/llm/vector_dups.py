@@ -3,9 +3,10 @@
 Equal vectors of a label are one class from the start. The classes of a label
 are dealt into shards of bounded size, each shard gets a graph, and every shard
 is asked for the neighbours of all classes of its label, a shard of queries at
-a time. A beam that is full of links is widened for its query; an audit against
-all points of the shard on a sample of queries widens all beams until nothing
-is missed. Links are verified by cosine in double precision, counted per class,
+a time. An audit compares queries with all points of the shard until enough of
+them have links; where links are so rare that it runs through all queries, their
+comparison is the answer, as it is where the graph misses a link of the audit.
+A beam that is full of links is widened for its query. Links are verified by cosine in double precision, counted per class,
 and joined within the task, so that a task sends one row per class, not one
 per pair; components are then united across tasks.
 """
@@ -29,44 +30,55 @@ class Config:
     least: float = 0.93
     shard_rows: int = 16_384
     beam: int = 32
-    #: Queries per task whose neighbours are checked against all points.
+    #: Queries per task with links to others that are checked against all points; where fewer have any, all queries are.
     audits: int = 256
     recall: float = 1.0
     seed: int = 5
 
 
+_AUDIT = 256  # queries compared with all points at a time
 _TILE = 1 << 16  # pairs verified at a time
 _SLACK = 1e-4  # single precision is off by less
 
 
+def _compared(graph: Graph, q: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) pairs that may link, by comparing all with all."""
+    out = [np.nonzero(q[i : i + 256] @ graph.x.T >= near) for i in range(0, len(q), 256)]
+    return np.concatenate([a + 256 * i for i, (a, _) in enumerate(out)]), np.concatenate([b for _, b in out])
+
+
 def _hits(graph: Graph, q: np.ndarray, own: np.ndarray | None, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs that may link, beams widened until audits pass."""
+    """(query, point) pairs that may link, by the graph if it meets all links of the audit."""
     n, near = len(graph.x), config.least - _SLACK
-    audit = np.random.default_rng(config.seed).permutation(len(q))[: config.audits]
-    wanted = graph.x @ q[audit].T >= near + _SLACK / 2  # (points, audits), clear of rounding
+    order = np.random.default_rng(config.seed).permutation(len(q))
+    wanted, linked, tried = [], 0, 0
+    while tried < len(q) and linked < config.audits:
+        rows = order[tried : tried + _AUDIT]
+        p, i = np.nonzero(graph.x @ q[rows].T >= near + _SLACK / 2)  # clear of rounding
+        other = np.ones(len(p), bool) if own is None else p != own[rows[i]]
+        linked, tried = linked + len(np.unique(i[other])), tried + len(rows)
+        wanted.append((rows[i], p))
+    if tried == len(q):  # links are rare or queries few: all are compared anyway, clear of rounding on the other side
+        return _compared(graph, q, near)
+    audit = order[:tried]
+    r, c = (np.concatenate(x) for x in zip(*wanted, strict=True))
+    wanted = np.sort(r * n + c)
     beam = min(config.beam, n)
-    while True:
-        pairs, todo, width = [], np.arange(len(q)), beam
-        while len(todo):
-            again = []
-            for i in range(0, len(todo), max(1, BATCH * config.beam * 4 // max(width, config.beam * 4))):
-                rows = todo[i : i + max(1, BATCH * config.beam * 4 // max(width, config.beam * 4))]
-                ids, sims = graph.search(q[rows], width, None if own is None else own[rows])
-                full = (sims >= near).all(1) & (width < n)
-                r, c = np.nonzero((sims >= near) & ~full[:, None] & (ids >= 0))
-                pairs.append((rows[r], ids[r, c]))
-                again.append(rows[full])
-            todo, width = np.concatenate(again), min(n, width * 8)
-        r, c = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-        place = np.full(len(q), -1)
-        place[audit] = np.arange(len(audit))
-        met = np.count_nonzero(wanted[c[place[r] >= 0], place[r[place[r] >= 0]]])
-        if met >= config.recall * np.count_nonzero(wanted):
-            return r, c
-        if beam >= n:  # parts of the graph cannot be reached: compare with all points instead
-            out = [np.nonzero(q[i : i + 256] @ graph.x.T >= near) for i in range(0, len(q), 256)]
-            return np.concatenate([a + 256 * i for i, (a, _) in enumerate(out)]), np.concatenate([b for _, b in out])
-        beam = min(n, beam * 2)
+    pairs, todo, width = [], np.arange(len(q)), beam
+    while len(todo):
+        again = []
+        for i in range(0, len(todo), max(1, BATCH * config.beam * 4 // max(width, config.beam * 4))):
+            rows = todo[i : i + max(1, BATCH * config.beam * 4 // max(width, config.beam * 4))]
+            ids, sims = graph.search(q[rows], width, None if own is None else own[rows])
+            full = (sims >= near).all(1) & (width < n)
+            r, c = np.nonzero((sims >= near) & ~full[:, None] & (ids >= 0))
+            pairs.append((rows[r], ids[r, c]))
+            again.append(rows[full])
+        todo, width = np.concatenate(again), min(n, width * 8)
+    r, c = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    met = np.isin(wanted, (r * n + c)[np.isin(r, audit)], assume_unique=True).sum()
+    # a beam that misses links: comparing all costs less than one search with a wider beam
+    return (r, c) if met >= config.recall * len(wanted) else _compared(graph, q, near)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

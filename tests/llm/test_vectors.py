@@ -105,3 +105,18 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert got == {i: r for i, r in root.items() if any(i in e for e in edges if e[0] != e[1])}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("planted", [12, 2000])
+def test_sparse_links_across_shards_are_met(planted):
+    """Few and many planted pairs between two shards of real size, against brute force."""
+    rng, c = np.random.default_rng(11), vector_dups.Config()
+    unit = lambda v: (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    x, q = unit(rng.normal(size=(c.shard_rows, 64))), unit(rng.normal(size=(c.shard_rows, 64)))
+    at, to = rng.permutation(len(q))[:planted], rng.permutation(len(x))[:planted]
+    q[at] = unit(x[to] + 0.045 * rng.normal(size=(planted, 64)))
+    r, p = vector_dups._hits(hnsw.Graph.build(x, c.seed), q, None, c)
+    want = {(int(a), int(b)) for a, b in zip(at, to) if x[b] @ q[a] >= c.least}
+    assert len(want) > 0.4 * planted
+    missed = len(want - set(zip(r.tolist(), p.tolist())))
+    assert missed <= (0 if planted < c.audits else 0.01 * planted)
