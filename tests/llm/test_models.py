@@ -160,6 +160,58 @@ def test_all_long_repeats_found(spark):
     assert want and want <= set(out.doc_id) | set(out.other_id)
 
 
+def frequent_lines(pairs, others):
+    """Texts (2 * i and 2 * i + 1 share three lines of 20 words, each of which also stands in other texts) and their shared runs."""
+    rng, rows, more = np.random.default_rng(17), [], []
+    for i in range(pairs):
+        shared = [_words(rng, 20) for _ in range(3)]
+        for _ in range(2):
+            own, at = _words(rng, 150), int(rng.integers(0, 150))
+            own[at:at] = sum(shared, [])
+            rows.append((len(rows), " ".join(own)))
+        for line in shared:
+            for _ in range(others):
+                own, at = _words(rng, 120), int(rng.integers(0, 120))
+                own[at:at] = line
+                more.append((10_000 + len(more), " ".join(own)))
+    return rows + more
+
+
+def met_pairs(rows, out):
+    """(pairs of texts that share a run of 50 words, those that meet over all of it): each other, or one text with it."""
+    where, covers = {}, {}
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - 49):
+            where.setdefault(tuple(w[j : j + 50]), []).append((i, j))
+    for r in out.itertuples():
+        for i, o, a, z in ((r.doc_id, r.other_id, r.first, r.last), (r.other_id, r.doc_id, r.other_first, r.other_last)):
+            covers.setdefault(i, []).append((o, a, z))
+    want, met = set(), set()
+    for places in where.values():
+        for (i, p), (j, q) in itertools.combinations(places, 2):
+            if i != j:
+                want.add((i, j))
+                at = [{o for o, a, z in covers.get(k, []) if a <= x and x + 50 <= z} | {k} for k, x in ((i, p), (j, q))]
+                if not at[0] & at[1]:
+                    met.add((i, j))
+    return want, want - met
+
+
+def test_passages_of_frequent_lines(spark):
+    rows = frequent_lines(30, 20)
+    want, met = met_pairs(rows, passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas())
+    assert len(want) == 30 and met == want
+
+
+def test_edited_chain_keeps_its_exact_part():
+    rng, c = np.random.default_rng(4), passages.Config()
+    x, y = rng.integers(0, 60000, 90).astype(np.uint16), rng.integers(0, 60000, 90).astype(np.uint16)
+    y[:52], y[77:84] = x[:52], x[77:84]
+    a = np.array([0, 16, 32, 47, 77])
+    assert [f[:4] for f in passages.passages_of(x, y, a, a, c)] == [(0, 52, 0, 52)]
+
+
 def test_chains_against_all_subsets():
     rng = np.random.default_rng(2)
     c = passages.Config()
