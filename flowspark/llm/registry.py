@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowspark.llm import ann, lines, lm, mixing, passages, pieces, quality, simhash, toxicity, vector_dups
+from flowspark.llm import ann, dialogue, lines, lm, mixing, passages, pieces, quality, simhash, toxicity, vector_dups
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_lm": lm.query,
     "op10_line_dedup": lines.query,
+    "op13_dialogue": dialogue.query,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op5_vector_dups": vector_dups.ORACLE,
     "op10_line_dedup": lines.ORACLE,
+    "op13_dialogue": dialogue.ORACLE,
 }
