@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowspark.llm import ann, dialogue, lines, lm, mixing, passages, pieces, quality, simhash, toxicity, vector_dups
+from flowspark.llm import ann, dialogue, language, lines, lm, mixing, passages, pieces, quality, simhash, toxicity, vector_dups
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_lm": lm.query,
     "op10_line_dedup": lines.query,
+    "op11_language": language.query,
     "op13_dialogue": dialogue.query,
 }
 
