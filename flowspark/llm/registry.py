@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowspark.llm import ann, dialogue, language, lines, lm, mixing, passages, pieces, quality, simhash, toxicity, vector_dups
+from flowspark.llm import ann, dialogue, language, lines, lm, mixing, passages, phrases, pieces, quality, simhash, toxicity, vector_dups
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm": lm.query,
     "op10_line_dedup": lines.query,
     "op11_language": language.query,
+    "op12_phrases": phrases.query,
     "op13_dialogue": dialogue.query,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op5_vector_dups": vector_dups.ORACLE,
     "op10_line_dedup": lines.ORACLE,
+    "op12_phrases": phrases.ORACLE,
     "op13_dialogue": dialogue.ORACLE,
 }
