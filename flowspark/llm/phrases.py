@@ -74,6 +74,16 @@ def _set(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """The top 48 bits of sorted hashes: all upper halves, which hardly differ, then all lower ones."""
+    return (keys >> np.uint64(48)).astype(np.uint16).tobytes() + (keys >> np.uint64(16)).astype(np.uint32).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint16, n).astype(np.uint64) << np.uint64(48) | np.frombuffer(data, np.uint32, n, 2 * n).astype(np.uint64) << np.uint64(16)
+
+
 class Vocabulary(dict):
     """Numbers of the words of a language; 0 are blanks, 1 what ends a run:
     line feeds and words that cannot be frequent."""
@@ -213,7 +223,7 @@ def frequent_ngrams(docs: DataFrame, mass: int, frequent: np.ndarray, pairs: np.
             for k, c in zip(np.split(keys, cuts), np.split(n.astype(np.uint32), cuts), strict=True):
                 if len(k):  # single ones need no count
                     many = c > 1
-                    yield int(k[0] >> np.uint64(64 - BITS + width)), k[~many].tobytes(), k[many].tobytes(), c[many].tobytes()
+                    yield int(k[0] >> np.uint64(64 - BITS + width)), _packed(k[~many]), _packed(k[many]), c[many].tobytes()
 
         def give(rows):
             for i in range(0, len(rows), 256):
@@ -222,7 +232,7 @@ def frequent_ngrams(docs: DataFrame, mass: int, frequent: np.ndarray, pairs: np.
         size = 0
         for table, ids, known in runs(batches, frequent):
             for _, _, h in ngrams(table, ids, known, pairs, sizes):
-                held.append(h)
+                held.append(h >> np.uint64(16) << np.uint64(16))  # n-grams of equal top bits count together here
                 size += len(h)
             if size >= _FLUSH:
                 yield from give(list(flush()))
@@ -233,8 +243,8 @@ def frequent_ngrams(docs: DataFrame, mass: int, frequent: np.ndarray, pairs: np.
     def summary(table: pa.Table) -> pa.Table:
         parts = []
         for one, more, n in zip(*(table.column(c).to_pylist() for c in ("one", "more", "n")), strict=True):
-            keys = np.concatenate((np.frombuffer(one, np.uint64), np.frombuffer(more, np.uint64)))
-            parts.append((keys, np.concatenate((np.ones(len(one) // 8, np.int64), np.frombuffer(n, np.uint32).astype(np.int64)))))
+            keys = np.concatenate((_unpacked(one), _unpacked(more)))
+            parts.append((keys, np.concatenate((np.ones(len(one) // 6, np.int64), np.frombuffer(n, np.uint32).astype(np.int64)))))
         return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([zlib.compress(_set(survivors(parts, least), width).tobytes(), 1)])})
 
     dealt = _text(docs).mapInArrow(run, "bucket long, one binary, more binary, n binary")
