@@ -1106,6 +1106,28 @@ def mi_binned(spark, sf):
     return rounded(se.mi_binned(fx.features(spark, sf), FEATURES, "binary_label"), 10, "mi")
 
 
+def _near_sql(feature: str) -> str:
+    return f"""select '{feature}' as feature, a.sample_id, count(*) as m from (select * from r where feature = '{feature}') a
+  join (select x from r where feature = '{feature}') b on b.x > a.x - 1.001 * a.r and b.x < a.x + 1.001 * a.r where abs(b.x - a.x) < a.r group by a.sample_id"""
+
+
+@query(f"""with {FEATURES_SQL}, u as (""" + " union all ".join(f"select '{c}' as feature, sample_id, binary_label as y, {c} as x from features where {c} is not null" for c in FEATURES)
+       + """), c as (select feature, y, count(*) as same from u group by all having count(*) > 1),
+s as (select feature, greatest(stddev_pop(x), avg(abs(x))) * 1e-10 as step from u group by all),
+v as (select feature, y, same, sample_id, x + (('0x' || md5(sample_id || ':' || feature)[1:13])::bigint::double / 2251799813685248 - 1) * step as x from u join c using (feature, y) join s using (feature)),
+r as (select feature, y, same, sample_id, x, list_sort(list_filter([""" + ", ".join(f"x - lag(x, {i}) over w, lead(x, {i}) over w - x" for i in (1, 2, 3))
+       + """], lambda d: d is not null))[least(3, same - 1)] as r from v window w as (partition by feature, y order by x)),
+m as (""" + " union all ".join(_near_sql(c) for c in FEATURES) + """),
+e as (select feature, x, count(*) as m from r group by all),
+h as (select n, sum(1.0::double / nullif(n - 1, 0)) over (order by n) as h from range(1, (select count(*) + 2 from r)) t(n)),
+g as (select n, coalesce(h, 0) - 0.5772156649015329 as psi from h),
+p as (select r.feature, count(*) as n, avg(a.psi) as k, avg(b.psi) as own, avg(d.psi) as near from r left join m using (feature, sample_id)
+  join e on e.feature = r.feature and e.x = r.x join g a on a.n = least(3, same - 1) join g b on b.n = same join g d on d.n = case when r.r = 0 then e.m else m.m end group by 1)
+select feature, round(greatest(g.psi + k - own - near, 0), 9) as mi from p join g on g.n = p.n""")
+def mi_knn(spark, sf):
+    return rounded(se.mi_knn(fx.features(spark, sf), FEATURES, "binary_label"), 9, "mi")
+
+
 @query()
 def pca_variance(spark, sf):
     df, names = _scaled_embeddings(spark, sf)

@@ -93,6 +93,8 @@ class SupervisedConfig:
 class UnsupervisedConfig:
     columns: FlowColumns = FlowColumns()
     mi_top_k: int = 50
+    mi_estimator: str = "knn"  # or "binned"
+    mi_neighbours: int = 3
     pca_variance: float = 0.95
     iforest_trees: int = 300
     iforest_sample: int = 256
@@ -112,6 +114,8 @@ class UnsupervisedConfig:
 
     def __post_init__(self) -> None:
         _check_unit_range(self, "precision_target", "recall_target", "pca_variance")
+        if self.mi_estimator not in ("knn", "binned"):
+            raise ValueError("mi_estimator must be 'knn' or 'binned'")
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,8 @@ from flowspark.config import UnsupervisedConfig
 from flowspark.functions.scalars import quoted
 from flowspark.operators.clean import impute_own
 from flowspark.operators.forest import VECTOR, assemble
+from flowspark.operators.neighbours import mi_knn
+from flowspark.operators.ordering import with_ids
 from flowspark.operators.quantiles import exact_quantiles, sample_exact
 from flowspark.staging import local_table
 
@@ -47,7 +49,12 @@ def select_features(df: DataFrame, features: Sequence[str], label: str, cfg: Uns
     """The most informative features, or all of them when k is out of range."""
     if not 0 < cfg.mi_top_k < len(features):
         return list(features)
-    return [r.feature for r in top_features(mi_binned(df, features, label), "mi", cfg.mi_top_k).collect()]
+    if cfg.mi_estimator == "binned":
+        ranking = mi_binned(df, features, label)
+    else:
+        sid = cfg.columns.sample_id
+        ranking = mi_knn(with_ids(df, sid), features, label, sid, cfg.mi_neighbours)
+    return [r.feature for r in top_features(ranking, "mi", cfg.mi_top_k).collect()]
 
 
 def pca_variance(df: DataFrame, features: Sequence[str], share: float = 0.95) -> DataFrame:
