@@ -73,13 +73,18 @@ class PrepareConfig:
 class SupervisedConfig:
     columns: FlowColumns = FlowColumns()
     num_trees: int = 400
-    max_depth: int = 30  # deepest tree Spark ML grows
-    max_bins: int = 32
+    max_depth: int | None = None  # none: until the leaves are pure
+    node_rows: int = 1 << 17  # draws that a node may have to be grown in one task
+    max_bins: int = 256  # of nodes with more
     boost_rounds: int = 400
     boost_depth: int = 8
     boost_step: float = 0.08
     boost_subsample: float = 0.85
     boost_features: float = 0.85
+    boost_bins: int = 256
+    boost_ridge: float = 1.0
+    boost_child_weight: float = 1.0
+    boost_store: int = 10  # rounds after which the rows' margins are written
     precision_target: float = 0.995
     recall_target: float = 0.995
     ip_ratio: float = 0.5
