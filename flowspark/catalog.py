@@ -1060,7 +1060,7 @@ def rf_scores(spark, sf):
 @query()
 def rf_importance(spark, sf):
     df = _model_rows(spark, sf)
-    return fo.importances(fo.fit_forest(df, FEATURES, SMALL), FEATURES, df, 10)
+    return fo.importances(fo.fit_forest(df, FEATURES, SMALL), FEATURES, 10)
 
 
 @query()

@@ -1,50 +1,45 @@
-"""Feature contributions of a fitted forest (path-dependent Shapley values)."""
+"""Feature contributions of a fitted forest (path-dependent Shapley values).
+
+Trees and rows are both dealt out: trees in blocks of bounded size, rows in
+shares, and each task streams a share of the rows past a block of trees. What a
+task finds per row is summed over the blocks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowspark.functions.scalars import quoted
 from flowspark.operators.clean import impute_own
 from flowspark.operators.quantiles import sample_exact
-from flowspark.staging import new_path, ship_package
-
-NODES_PER_ROUND = 2_000_000  # tree nodes sent to the executors at a time
-
+from flowspark.operators.trees import TreeModel, features_of, matrix
+from flowspark.staging import ship_package, staged
 
-def forest_nodes(model, df: DataFrame) -> DataFrame:
-    """Node table of a fitted forest, read from its stored form."""
-    path = new_path(df.sparkSession, "forest")
-    model.write().overwrite().save(path)
-    n = F.col("nodeData")
-    stats = n["impurityStats"]
-    cover = F.aggregate(stats, F.lit(0.0), lambda a, v: a + v)
-    return df.sparkSession.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), n["id"].alias("node"), n["split"]["featureIndex"].alias("feature"),
-        F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"),
-        n["leftChild"].alias("left"), n["rightChild"].alias("right"), cover.alias("cover"),
-        F.try_divide(F.get(stats, F.lit(1)), cover).alias("value"))
+NODES_PER_BLOCK = 100_000  # tree nodes that one task explains at a time, one tree at least
+_CELLS = 1 << 21  # rows x leaves x features held at a time
+_ROWS = 256
 
 
-def _paths(tree: pd.DataFrame) -> list[tuple[float, dict]]:
+def _paths(tree: dict[str, np.ndarray]) -> list[tuple[float, dict]]:
     """Leaves as (value, {feature: (low, high, share of training weight)})."""
-    rows = {r.node: r for r in tree.itertuples()}
+    at = {n: i for i, n in enumerate(tree["node"].tolist())}
+    feature, cut, left, right, cover, value = (tree[c].tolist() for c in ("feature", "cut", "left", "right", "cover", "value"))
     leaves, waiting = [], [(0, {})]
     while waiting:
         node, path = waiting.pop()
-        r = rows[node]
-        if r.left < 0:
-            leaves.append((r.value, path))
+        i = at[node]
+        f = feature[i]
+        if f < 0:
+            leaves.append((value[i], path))
             continue
-        for child, is_left in ((r.left, True), (r.right, False)):
-            low, high, share = path.get(r.feature, (-np.inf, np.inf, 1.0))
-            bounds = (low, min(high, r.cut)) if is_left else (max(low, r.cut), high)
-            part = rows[child].cover / r.cover if r.cover > 0 else 0.0
-            waiting.append((child, {**path, r.feature: (*bounds, share * part)}))
+        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((left[i], (low, min(high, cut[i]))), (right[i], (max(low, cut[i]), high))):
+            part = cover[at[child]] / cover[i] if cover[i] > 0 else 0.0
+            waiting.append((child, {**path, f: (*bounds, share * part)}))
     return leaves
 
 
@@ -57,77 +52,115 @@ def _weights(k: int) -> np.ndarray:
     return out
 
 
-def tree_contributions(leaves: list[tuple[float, dict]], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Contributions per row and feature of one tree, and its base value.
+def _same_length(leaves: list[tuple[float, dict]], x: np.ndarray, out: np.ndarray) -> None:
+    """Add the contributions of leaves that all have k features.
 
     A leaf is a product over its features: inside the bounds or the share of
-    training weight. Coalition sizes are summed by a polynomial in the rest.
+    training weight. The product is extended feature by feature as a polynomial
+    in the coalition's size; each feature's own factor is then unwound from it.
     """
-    out, base = np.zeros_like(x), 0.0
-    for value, path in leaves:
-        names = list(path)
-        shares = np.array([path[f][2] for f in names])
-        base += value * float(np.prod(shares))
-        if not names or value == 0.0:
-            continue
-        inside = np.stack([((x[:, f] > path[f][0]) & (x[:, f] <= path[f][1])).astype(float) for f in names], axis=1)
-        k = len(names)
-        weights = _weights(k)
-        for j in range(k):
-            poly = np.zeros((len(x), k))
-            poly[:, 0] = 1.0
-            for m in range(k):
-                if m == j:
-                    continue
-                grown = poly * shares[m]
-                grown[:, 1:] += poly[:, :-1] * inside[:, m:m + 1]
-                poly = grown
-            out[:, names[j]] += value * (inside[:, j] - shares[j]) * (poly @ weights)
+    k = len(leaves[0][1])
+    feature = np.array([list(p) for _, p in leaves])
+    low, high, share = np.array([list(p.values()) for _, p in leaves]).transpose(2, 0, 1)
+    value, weights = np.array([v for v, _ in leaves]), _weights(k)
+    values = x[:, feature]  # row, leaf, feature
+    inside = (values > low) & (values <= high)
+    poly = np.zeros((*inside.shape[:2], k + 1))
+    poly[..., 0] = 1.0
+    for m in range(k):
+        grown = poly * share[:, m, None]
+        grown[..., 1:] += poly[..., :-1] * inside[..., m, None]
+        poly = grown
+    for j in range(k):
+        s, met = share[:, j], inside[..., j]
+        rest = poly[..., k]
+        total = rest * weights[k - 1]
+        for i in range(k - 1, 0, -1):
+            rest = poly[..., i] - s * rest
+            total = total + rest * weights[i - 1]
+        outside = poly[..., :k] @ weights / np.where(s > 0, s, 1)
+        found = value * np.where(met, (1 - s) * total, -s * outside)
+        spread = np.zeros((len(leaves), out.shape[1]))
+        spread[np.arange(len(leaves)), feature[:, j]] = 1.0
+        out += found @ spread
+
+
+def tree_contributions(leaves: list[tuple[float, dict]], x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Contributions per row and feature of a tree's leaves, and their base value."""
+    out = np.zeros_like(x)
+    base = sum(v * float(np.prod([s for _, _, s in p.values()])) for v, p in leaves)
+    by: dict[int, list] = {}
+    for v, p in leaves:
+        if p and v != 0.0:
+            by.setdefault(len(p), []).append((v, p))
+    for k, mine in by.items():
+        for r in range(0, len(x), _ROWS):
+            step = max(1, _CELLS // (_ROWS * (k + 1)))
+            for i in range(0, len(mine), step):
+                _same_length(mine[i : i + step], x[r : r + _ROWS], out[r : r + _ROWS])
     return out, base
 
 
-def contributions(model, df: DataFrame, features: Sequence[str], sample_id: str = "sample_id") -> DataFrame:
-    """Contribution of every feature to the attack probability of every row,
-    as rows (id, feature, contribution) plus the base value.
+_TREE = ("tree", "node", "feature", "cut", "left", "right", "cover", "value")
 
-    Trees go out in groups of bounded size; the groups' results add up.
-    """
-    ship_package(df.sparkSession)
-    nodes = forest_nodes(model, df)
-    trees = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy("tree").collect()  # one row per tree
-    groups, room = [[]], NODES_PER_ROUND
-    for t in trees:
-        if t.n > room and groups[-1]:
-            groups.append([])
-            room = NODES_PER_ROUND
-        groups[-1].append(t.tree)
-        room -= t.n
-    spark, n_trees = df.sparkSession, len(trees)
-    slim = df.select(F.col(quoted(sample_id)).cast("long").alias("id"),
-                     F.array(*[F.col(quoted(c)).cast("double") for c in features]).alias("x"))
-    out = None
-    for group in groups:
-        table = nodes.where(F.col("tree").isin(group)).toPandas()
-        shared = spark.sparkContext.broadcast([_paths(t) for _, t in table.groupby("tree")])
-
-        def explain(batches, shared=shared):
-            for pdf in batches:
-                if not len(pdf):
+
+def _tree_blocks(model: TreeModel) -> tuple[DataFrame, int]:
+    """(block, trees): the nodes of each block of trees as bytes."""
+    size = model.nodes.agg(F.count(F.lit(1)), F.count_distinct("tree")).first()
+    blocks = max(1, min(size[1], -(-size[0] // NODES_PER_BLOCK)))
+
+    def pack(table: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.select(_TREE).schema) as writer:
+            writer.write_table(table.select(_TREE))
+        return pa.table({"block": table["block"][:1], "trees": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    numbered = model.nodes.select((F.col("tree") % blocks).cast("int").alias("block"), *_TREE)
+    return numbered.groupBy("block").applyInArrow(pack, "block int, trees binary"), blocks
+
+
+def _unpacked(data: bytes) -> list[list[tuple[float, dict]]]:
+    table = pa.ipc.open_stream(data).read_all()
+    columns = {c: table[c].to_numpy() for c in _TREE}
+    return [_paths({c: v[columns["tree"] == t] for c, v in columns.items()}) for t in np.unique(columns["tree"])]
+
+
+def contributions(model: TreeModel, df: DataFrame, features: Sequence[str], sample_id: str = "sample_id") -> DataFrame:
+    """Contribution of every feature to the attack probability of every row,
+    as rows (id, feature, contribution) plus the base value."""
+    spark, width, trees = df.sparkSession, len(features), max(model.trees, 1)
+    ship_package(spark)
+    blocks, count = _tree_blocks(model)
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(quoted(sample_id)).cast("long")
+    rows = df.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share"),
+                     F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("trees"), key.alias("id"), features_of(df, features).alias("x"))
+    heads = staged(blocks, "blocks").select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), "trees",
+                                            F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("x"))
+    # a block's trees come first, then the rows of a share that pass them by
+    stream = heads.unionByName(rows).repartition("block", "share").sortWithinPartitions("block", "share", "kind").select("trees", "id", "x")
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = []
+        for batch in batches:
+            marks = np.flatnonzero(batch.column("trees").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for start, end in zip([-1, *marks], [*marks, batch.num_rows]):
+                if start >= 0:
+                    forest = _unpacked(batch.column("trees")[start].as_py())
+                part = batch.slice(start + 1, end - start - 1)
+                if not part.num_rows:
                     continue
-                x = np.stack(pdf["x"].to_numpy())
+                x = matrix(part.column("x"), width)
                 total, base = np.zeros_like(x), 0.0
-                for leaves in shared.value:
-                    part, b = tree_contributions(leaves, x)
-                    total, base = total + part, base + b
-                yield pd.DataFrame({"id": pdf["id"], "phi": list(total / n_trees), "base": base / n_trees})
+                for leaves in forest:
+                    phi, b = tree_contributions(leaves, x)
+                    total, base = total + phi, base + b
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(total / trees), pa.list_(pa.float64())), pa.array(np.full(len(x), base / trees))], names=["id", "phi", "base"])
 
-        part = slim.mapInPandas(explain, "id long, phi array<double>, base double")
-        out = part if out is None else out.unionByName(part)
+    out = stream.mapInArrow(explain, "id long, phi array<double>, base double")
     names = F.array(*[F.lit(c) for c in features])
     long = out.select("id", "base", F.posexplode("phi").alias("pos", "contribution")).select(
         "id", F.get(names, F.col("pos")).alias("feature"), "contribution", "base")
-    if len(groups) == 1:
-        return long
     return long.groupBy("id", "feature").agg(F.sum("contribution").alias("contribution"), F.sum("base").alias("base"))
 
 
@@ -138,7 +171,7 @@ def mean_contributions(contrib: DataFrame, top: int | None = 30) -> DataFrame:
     return out if top is None else out.limit(top)
 
 
-def explain_forest(model, df: DataFrame, features: Sequence[str], sample_id: str = "sample_id", max_rows: int | None = None, seed: int = 42) -> DataFrame:
+def explain_forest(model: TreeModel, df: DataFrame, features: Sequence[str], sample_id: str = "sample_id", max_rows: int | None = None, seed: int = 42) -> DataFrame:
     """Top features over all rows, or over a sample of ``max_rows``."""
     filled = impute_own(df, features)
     rows = sample_exact(filled, max_rows, sample_id, seed) if max_rows else filled

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import SparkSession, functions as F
 
 from flowspark.config import SupervisedConfig, UnsupervisedConfig
 from flowspark.operators.recon import load_reconstruction, save_reconstruction
+from flowspark.operators.trees import TreeModel, load_trees, save_trees
 from flowspark.plans.fuse import AlertRun
 from flowspark.plans.supervised import SupervisedRun
 from flowspark.plans.unsupervised import UnsupervisedModels, UnsupervisedRun
@@ -19,13 +19,13 @@ from flowspark.staging import local_table
 
 def save_supervised(spark: SparkSession, run: SupervisedRun, features: list[str], folder: str, cfg: SupervisedConfig = SupervisedConfig()) -> None:
     """Model, feature list, predictions, thresholds, metrics and manifest."""
-    run.model.write().overwrite().save(f"{folder}/forest")
-    write_names(spark, features, f"{folder}/forest_features")
+    save_trees(run.model, f"{folder}/supervised_trees")
+    write_names(spark, features, f"{folder}/supervised_features")
     write_table(run.predictions, f"{folder}/test_predictions_supervised")
     write_document(manifest(spark, **run.thresholds), f"{folder}/supervised_thresholds")
     write_document(run.metrics, f"{folder}/metrics_supervised")
     settings = {k: v for k, v in asdict(cfg).items() if k != "columns"}
-    write_document(manifest(spark, feature_cols=features, n_features=len(features), hyperparams=settings, thresholds=run.thresholds),
+    write_document(manifest(spark, feature_cols=features, n_features=len(features), hyperparams=settings, thresholds=run.thresholds, kind=run.model.kind),
                    f"{folder}/model_manifest")
 
 
@@ -66,9 +66,9 @@ def save_alert_run(spark: SparkSession, run: AlertRun, folder: str) -> None:
         write_table(run.summary, f"{folder}/ip_summary")
 
 
-def load_models(spark: SparkSession, folder: str) -> tuple[RandomForestClassificationModel, list[str], UnsupervisedModels]:
-    """Forest with its features, and all unsupervised models, as stored above."""
-    for part in ("forest", "forest_features", "selected_features", "scaler", "iforest", "autoencoder", "vae"):
+def load_models(spark: SparkSession, folder: str) -> tuple[TreeModel, list[str], UnsupervisedModels]:
+    """Forest or boosted trees with their features, and all unsupervised models, as stored above."""
+    for part in ("supervised_trees", "supervised_features", "selected_features", "scaler", "iforest", "autoencoder", "vae"):
         require(spark, f"{folder}/{part}", "load_models")
     scaler = {r.feature: r for r in spark.read.parquet(f"{folder}/scaler").collect()}  # one row per feature
     models = UnsupervisedModels(
@@ -76,4 +76,4 @@ def load_models(spark: SparkSession, folder: str) -> tuple[RandomForestClassific
         medians={c: r.median for c, r in scaler.items()}, scaling={c: (r["mean"], r.deviation) for c, r in scaler.items()},
         forest=spark.read.parquet(f"{folder}/iforest"), ae=load_reconstruction(spark, f"{folder}/autoencoder"),
         vae=load_reconstruction(spark, f"{folder}/vae"))
-    return RandomForestClassificationModel.load(f"{folder}/forest"), read_feature_names(spark, f"{folder}/forest_features"), models
+    return load_trees(spark, f"{folder}/supervised_trees"), read_feature_names(spark, f"{folder}/supervised_features"), models

@@ -139,8 +139,7 @@ def test_forest_is_repeatable_and_separates(blobs, small_forest):
     two = forest.score_attacks(again, blobs, NAMES, ["sample_id", "binary_label"])
     assert one.exceptAll(two).isEmpty()
     assert curves.roc_auc(one, "attack_prob", "binary_label").first().auc > 0.9
-    assert forest.balanced_weights(blobs, "binary_label") == pytest.approx({0: 0.55, 1: 5.5})
-    top = forest.importances(small_forest, NAMES, blobs, 3).collect()
+    top = forest.importances(small_forest, NAMES, 3).collect()
     assert len(top) == 3 and top[0].importance >= top[1].importance
 
 
@@ -160,7 +159,7 @@ def test_odd_feature_names(blobs):
 
 @pytest.mark.parametrize("room", [10**6, 1])
 def test_contributions_add_up_to_the_score(blobs, small_forest, room, monkeypatch):
-    monkeypatch.setattr(explain, "NODES_PER_ROUND", room)
+    monkeypatch.setattr(explain, "NODES_PER_BLOCK", room)
     rows = blobs.where("sample_id % 20 = 0")
     got = explain.contributions(small_forest, rows, NAMES).groupBy("id").agg((F.sum("contribution") + F.first("base")).alias("p"))
     want = forest.score_attacks(small_forest, rows, NAMES, ["sample_id"])
