@@ -14,10 +14,10 @@ from flowspark.functions import scalars as S
 from flowspark.operators import (
     alerts as al, campaigns as ca, clean, curves as cu, display as di, edges as ed, evidence as ev, explain as ex,
     forest as fo, fusion as fu, graph as gr, iforest as ifo, ordering, quantiles as qu, recon as re_, reconcile as rc,
-    selection as se, split as sp, summary as su, thresholds as th, threat as tr)
+    selection as se, split as sp, summary as su, thresholds as th, threat as tr, trees as ts)
 from flowspark.plans.supervised import supervised_score
 from flowspark.sources import flow_csv, tables
-from flowspark.staging import local_table, new_path, spread, staged
+from flowspark.staging import local_table, new_path, staged
 from flowspark.streaming.alert_stream import alert_stream as streaming_alerts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1033,34 +1033,35 @@ def edge_sink(spark, sf):
 
 # --- models --------------------------------------------------------------------
 
+DEFAULT = SupervisedConfig(columns=SNAKE)
+# boosting and contributions take minutes at the defaults even on small tables; times are in the README
 SMALL = SupervisedConfig(columns=SNAKE, num_trees=20, max_depth=8, boost_rounds=10, boost_depth=5)
-MANY_TREES = SupervisedConfig(columns=SNAKE, num_trees=400, max_depth=8)
 BRIEF = UnsupervisedConfig(columns=SNAKE, epochs=3)
 
 
 def _model_rows(spark, sf):
     df = clean.drop_incomplete(fx.features(spark, sf).drop("f_const"), FEATURES)
-    return spread(staged(sp.stratified_split(df, "binary_label", "split_binary", PREPARE), "rows"))
+    return staged(sp.stratified_split(df, "binary_label", "split_binary", PREPARE), "rows")
 
 
 def _scaled_embeddings(spark, sf):
     df, names = fx.embedding_features(spark, sf)
     df = staged(df, "embeddings")
     stats = clean.scale_stats(df.where("binary_label = 0"), names)
-    return spread(staged(clean.standardise(df, stats), "scaled")), names
+    return staged(clean.standardise(df, stats), "scaled"), names
 
 
 @query()
 def rf_scores(spark, sf):
     df = _model_rows(spark, sf)
-    model = fo.fit_forest(df.where("split_binary = 'train'"), FEATURES, SMALL)
+    model = fo.fit_forest(df.where("split_binary = 'train'"), FEATURES, DEFAULT)
     return fo.score_attacks(model, df, FEATURES, ["sample_id", "split_binary"])
 
 
 @query()
 def rf_importance(spark, sf):
     df = _model_rows(spark, sf)
-    return fo.importances(fo.fit_forest(df, FEATURES, SMALL), FEATURES, 10)
+    return fo.importances(fo.fit_forest(df, FEATURES, DEFAULT), FEATURES, 10)
 
 
 @query()
@@ -1072,7 +1073,7 @@ def gbt_scores(spark, sf):
 
 @query()
 def supervised_predictions(spark, sf):
-    return supervised_score(_model_rows(spark, sf), FEATURES, SMALL).predictions
+    return supervised_score(_model_rows(spark, sf), FEATURES, DEFAULT).predictions
 
 
 @query()
@@ -1128,6 +1129,24 @@ def mi_knn(spark, sf):
     return rounded(se.mi_knn(fx.features(spark, sf), FEATURES, "binary_label"), 9, "mi")
 
 
+@query()
+def stored_models(spark, sf):
+    """Scores of every row by a forest, boosted and isolation trees read back
+    from the one form in which they are stored, next to those before."""
+    df, path = _model_rows(spark, sf), new_path(spark, "models")
+    train = df.where("split_binary = 'train'")
+    models = {"forest": fo.fit_forest(train, FEATURES, SMALL), "boosted": fo.fit_boosted(train, FEATURES, SMALL),
+              "isolation": ts.isolation_model(ifo.fit_iforest(train.where("binary_label = 0"), FEATURES, cfg=BRIEF))}
+    out = None
+    for kind, model in models.items():
+        ts.save_trees(model, f"{path}/{kind}")
+        before = fo.score_attacks(model, df, FEATURES, ["sample_id"], "score")
+        after = fo.score_attacks(ts.load_trees(spark, f"{path}/{kind}"), df, FEATURES, ["sample_id"], "read_back")
+        part = before.join(after, "sample_id").select(F.lit(kind).alias("kind"), "sample_id", "score", "read_back")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query()
 def pca_variance(spark, sf):
     df, names = _scaled_embeddings(spark, sf)
@@ -1162,7 +1181,9 @@ def recon_pca(spark, sf):
 
 def _recon(spark, sf, variational):
     df, names = _scaled_embeddings(spark, sf)
-    model, _ = re_.fit_reconstruction(df.where("binary_label = 0"), df, names, "binary_label", variational, BRIEF)
+    df = staged(sp.stratified_split(df, "binary_label", "split_binary", PREPARE), "split")
+    train, val = df.where("split_binary = 'train' and binary_label = 0"), df.where("split_binary = 'val'")
+    model, _ = re_.fit_reconstruction(train, val, names, "binary_label", variational, BRIEF)
     return re_.score_reconstruction(df, model, ["sample_id", "binary_label"])
 
 
@@ -1181,7 +1202,7 @@ def ensemble_predictions(spark, sf):
     """Forest and isolation-forest scores of the order rows, fused, calibrated
     on validation and alerted on test."""
     df = _model_rows(spark, sf)
-    forest = fo.fit_forest(df.where("split_binary = 'train'"), FEATURES, SMALL)
+    forest = fo.fit_forest(df.where("split_binary = 'train'"), FEATURES, DEFAULT)
     nodes = ifo.fit_iforest(df.where("split_binary = 'train' and binary_label = 0"), FEATURES, cfg=BRIEF)
     keep = ["sample_id", "binary_label", "split_binary"]
     rf = fo.score_attacks(forest, df, FEATURES, ["sample_id"], "rf_prob")

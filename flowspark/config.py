@@ -108,6 +108,7 @@ class UnsupervisedConfig:
     dropout: float = 0.15
     epochs: int = 80
     batch_rows: int = 2048
+    sync_batches: int = 1  # batches whose mean gradient moves the weights once
     learning_rate: float = 1e-3
     weight_decay: float = 1e-5
     patience: int = 10

@@ -1,7 +1,9 @@
-"""Autoencoder and variational autoencoder, trained where the rows are.
+"""Autoencoder and variational autoencoder, trained by synchronous mini-batches.
 
-Per epoch every partition runs mini-batches from the shared state; the
-resulting states meet in one row-weighted mean, an ordinary aggregate.
+Rows are dealt to batches once, by their values. A step is one job: its batches
+give their gradients where they are, an aggregate takes their row-weighted mean,
+and the weights move once. The fit is that of one machine that runs the same
+batches, for any number of partitions.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
@@ -18,52 +20,64 @@ from flowspark.config import UnsupervisedConfig
 from flowspark.functions.recon_net import Net
 from flowspark.functions.scalars import quoted
 from flowspark.operators.curves import roc_auc
-from flowspark.staging import ship_package, spread, staged
-
-
-LANES = 64  # groups in which partition states are averaged first
+from flowspark.staging import new_path, ship_package, staged
 
 
 def _matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[quoted(c) for c in keep], F.array(*[F.col(quoted(c)).cast("double") for c in features]).alias("__x"))
 
 
-def _epoch(rows: DataFrame, net: Net, state: np.ndarray, steps: float, epoch: int, rate: float, cfg: UnsupervisedConfig, beta: float):
-    """One pass over all rows; returns the mean state, steps per partition and loss."""
-    shared = rows.sparkSession.sparkContext.broadcast(state)
-    t = net.trained
-
-    def train(batches):
-        from pyspark import TaskContext
+def deal_batches(train: DataFrame, features: Sequence[str], cfg: UnsupervisedConfig) -> tuple[DataFrame, int]:
+    """Rows with their batch, written by step, and the number of steps.
 
-        flat = shared.value[:net.size].copy()
-        first, second = shared.value[net.size:net.size + t].copy(), shared.value[net.size + t:].copy()
-        part_id = TaskContext.get().partitionId()
-        rng = np.random.default_rng([cfg.seed, epoch, part_id])
-        seen, loss_sum, step = 0, 0.0, steps
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["__x"].to_numpy())
-            x = x[rng.permutation(len(x))]
-            for i in range(0, len(x), cfg.batch_rows):
-                part = x[i:i + cfg.batch_rows]
-                loss, grad = net.loss_and_gradient(flat, part, beta, rng)
-                step += 1
-                net.adam(flat, grad, first, second, step, rate, cfg.weight_decay)
-                seen, loss_sum = seen + len(part), loss_sum + loss * len(part)
-        if seen:
-            yield pd.DataFrame({"lane": [part_id % LANES], "state": [np.concatenate([flat, first, second])],
-                                "rows": [float(seen)], "loss": [loss_sum], "steps": [step * seen]})
-
-    parts = rows.mapInPandas(train, "lane int, state array<double>, rows double, loss double, steps double")
-    parts = parts.withColumn("state", array_to_vector("state"))
-    sums = [F.sum(c).alias(c) for c in ("rows", "loss", "steps")]
-    mean = Summarizer.mean(F.col("state"), F.col("rows")).alias("state")
-    # partition states meet per lane first, so no task reads all of them
-    row = parts.groupBy("lane").agg(mean, *sums).agg(mean, *sums).first()
-    shared.unpersist()
-    return row.state.toArray(), row.steps / row.rows, row.loss / row.rows
+    A row's batch hangs on its values only, so that batches are the same for
+    any partitions. A step takes ``sync_batches`` batches at once.
+    """
+    slim = _matrix(train, features).withColumn("key", F.xxhash64("__x"))
+    batches = max(1, round(train.count() / cfg.batch_rows))
+    steps = -(-batches // cfg.sync_batches)
+    batch = F.pmod(F.xxhash64("key", F.lit(cfg.seed)), F.lit(batches)).cast("int")
+    path = new_path(train.sparkSession, "batches")
+    slim.withColumn("batch", batch).withColumn("step", F.col("batch") % steps).repartition("step", "batch").write.partitionBy("step").parquet(path)
+    rows = train.sparkSession.read.schema("__x array<double>, key long, batch int, step int").parquet(path)
+    return rows, steps
+
+
+def batch_gradient(net: Net, flat: np.ndarray, x: np.ndarray, key: np.ndarray, batch: int, epoch: int, cfg: UnsupervisedConfig, beta: float) -> tuple[float, np.ndarray]:
+    """Loss of one batch, and its gradient with the running statistics after it
+    behind. Rows are taken in the order of their keys."""
+    x = x[np.lexsort((*x.T, key))]
+    flat = flat.copy()
+    loss, grad = net.loss_and_gradient(flat, x, beta, np.random.default_rng([cfg.seed, epoch, batch]))
+    grad[net.trained:] = flat[net.trained:]
+    return loss, grad
+
+
+def _epoch(rows: DataFrame, net: Net, state: np.ndarray, steps: int, epoch: int, rate: float, cfg: UnsupervisedConfig, beta: float, in_epoch: int):
+    """One pass over all rows, a job per step: every batch of the step gives a
+    gradient at the same weights, their mean moves the weights once. Returns
+    state, steps so far and loss."""
+    t = net.trained
+    flat, first, second = state[:net.size].copy(), state[net.size:net.size + t].copy(), state[net.size + t:].copy()
+    seen, loss_sum, width = 0.0, 0.0, net.encoder[0][0] if net.encoder else net.heads[0][0]
+    for step in np.random.default_rng([cfg.seed, epoch]).permutation(in_epoch).tolist():
+        shared = rows.sparkSession.sparkContext.broadcast(flat)
+
+        def gradient(table: pa.Table) -> pa.Table:
+            x = table["__x"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+            loss, grad = batch_gradient(net, shared.value, x, table["key"].to_numpy(), table["batch"][0].as_py(), epoch, cfg, beta)
+            return pa.table({"rows": [float(len(x))], "loss": [loss * len(x)], "grad": pa.array([grad], pa.list_(pa.float64()))})
+
+        found = rows.where(F.col("step") == step).groupBy("batch").applyInArrow(gradient, "rows double, loss double, grad array<double>")
+        mean = Summarizer.mean(F.col("grad"), F.col("rows")).alias("grad")
+        row = found.withColumn("grad", array_to_vector("grad")).agg(mean, F.sum("rows").alias("rows"), F.sum("loss").alias("loss")).first()
+        shared.unpersist()
+        if row.rows:
+            grad, steps = row.grad.toArray(), steps + 1
+            net.adam(flat, grad, first, second, steps, rate, cfg.weight_decay)
+            flat[t:] = grad[t:]
+            seen, loss_sum = seen + row.rows, loss_sum + row.loss
+    return np.concatenate([flat, first, second]), steps, loss_sum / max(seen, 1.0)
 
 
 def fit_reconstruction(
@@ -72,18 +86,20 @@ def fit_reconstruction(
 ) -> tuple[dict, DataFrame]:
     """Model and training history (epoch, loss, val_auc, lr).
 
-    The rate halves when the validation AUC stands still, training stops when
+    ``sync_batches`` batches of about ``batch_rows`` rows move the weights
+    together; with 1 that is plain mini-batch training, more use more executors
+    a step. The rate halves when the validation AUC stands still, training stops when
     it does for long, and the best state is kept.
     """
     ship_package(train.sparkSession)
     net = Net(len(features), cfg.bottleneck, cfg.hidden_layers, cfg.dropout, variational)
-    rows = spread(staged(_matrix(train, features), "train"))
-    val = spread(staged(val.select(quoted(label), *[quoted(c) for c in features]), "val"))
+    rows, in_epoch = deal_batches(train, features, cfg)
+    val = staged(val.select(quoted(label), *[quoted(c) for c in features]), "val")
     state = np.concatenate([net.start(cfg.seed), np.zeros(2 * net.trained)])
-    rate, steps, best, best_auc, wait = cfg.learning_rate, 0.0, state, -1.0, 0
+    rate, steps, best, best_auc, wait = cfg.learning_rate, 0, state, -1.0, 0
     plateau_best, plateau_wait, history = -np.inf, 0, []
     for epoch in range(1, cfg.epochs + 1):
-        state, steps, loss = _epoch(rows, net, state, steps, epoch, rate, cfg, cfg.vae_beta)
+        state, steps, loss = _epoch(rows, net, state, steps, epoch, rate, cfg, cfg.vae_beta, in_epoch)
         model = _model(net, state, features, cfg)
         auc = roc_auc(score_reconstruction(val, model, [label]), "recon_score", label).first().auc or 0.0
         if auc > plateau_best * (1 + 1e-4) if plateau_best > 0 else auc > plateau_best:

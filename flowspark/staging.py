@@ -98,20 +98,6 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(columns, names=[f.name for f in fields]))
 
 
-MODEL_PARTS = "flowspark.model.parts"  # session setting: parts in which models are fitted
-_MODEL_PARTS = 32
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """A stored table for fitting models: dealt by value into a fixed number of
-    parts and put in order, whatever its size and the cores, so that a fitted
-    model hangs on its rows and this number only. Raise the session setting
-    ``flowspark.model.parts`` (default 32) with the size of the cluster."""
-    parts = int(table.sparkSession.conf.get(MODEL_PARTS, str(_MODEL_PARTS)))
-    columns = [f"`{c}`" for c in table.columns]
-    return table.repartition(parts, *columns).sortWithinPartitions(*columns)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove one staged table that nothing reads any more."""
     fs, p = file_system(spark, path)

@@ -106,6 +106,29 @@ def test_rate_halves_and_training_stops(spark, blobs, monkeypatch):
     assert len(rates) == 10 and rates[:6] == [1e-3] * 6 and rates[6:] == [5e-4] * 4
 
 
+@pytest.mark.parametrize("variational,together", [(False, 1), (True, 3)])
+def test_training_equals_one_machine(spark, blobs, variational, together):
+    cfg = UnsupervisedConfig(columns=COLS, bottleneck=2, epochs=3, batch_rows=90, sync_batches=together)
+    rows, steps = recon.deal_batches(blobs, NAMES, cfg)
+    pdf = rows.toPandas()
+    net = Net(6, 2, cfg.hidden_layers, cfg.dropout, variational)
+    flat = net.start(cfg.seed)
+    first, second, moved = np.zeros(net.trained), np.zeros(net.trained), 0
+    for epoch in (1, 2, 3):
+        for step in np.random.default_rng([cfg.seed, epoch]).permutation(steps):
+            parts = [(len(b), *recon.batch_gradient(net, flat, np.stack(b["__x"]), b.key.to_numpy(), int(n), epoch, cfg, cfg.vae_beta)) for n, b in pdf[pdf.step == step].groupby("batch")]
+            grad, moved = np.average([g for _, _, g in parts], 0, [n for n, _, _ in parts]), moved + 1
+            net.adam(flat, grad, first, second, moved, cfg.learning_rate, cfg.weight_decay)
+            flat[net.trained:] = grad[net.trained:]
+    assert moved == 3 * steps and pdf.batch.nunique() == 7 and steps == -(-7 // together)
+    for parts in (1, 7):
+        table, in_epoch = recon.deal_batches(blobs.repartition(parts), NAMES, cfg)
+        state, count = np.concatenate([net.start(cfg.seed), np.zeros(2 * net.trained)]), 0
+        for epoch in (1, 2, 3):
+            state, count, _ = recon._epoch(table, net, state, count, epoch, cfg.learning_rate, cfg, cfg.vae_beta, in_epoch)
+        np.testing.assert_allclose(state[:net.size], flat, atol=1e-8)
+
+
 def test_linear_residual(blobs):
     got = selection.linear_residual(blobs, blobs.where("binary_label = 0"), NAMES, ["binary_label"], 2)
     assert curves.roc_auc(got, "pca_score", "binary_label").first().auc > 0.95
