@@ -123,6 +123,23 @@ def column_percentiles(spark, sf):
     return rounded(qu.quantile_table(fx.features(spark, sf), FEATURES, [0.25, 0.99, 0.995]), 6, "value")
 
 
+PROBS = (0.01, 0.25, 0.5, 0.99)
+
+
+@query(f"with {FEATURES_SQL}\n" + " union all ".join(
+    f"select '{c}' as feature, {p}::double as prob, count({c}) as n, 1 as near from features" for c in FEATURES for p in PROBS))
+def column_percentiles_approx(spark, sf):
+    """Whether the sketch's quantiles lie within their rank error, by the exact ranks of their values."""
+    df = staged(fx.features(spark, sf).select(*FEATURES), "features")
+    found = qu.approx_quantiles(df, FEATURES, PROBS, 1e-3)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in FEATURES])
+    long = df.select(F.explode(cells).alias("e")).select("e.*").where("x is not null")
+    ranks = long.join(found, "feature").groupBy("feature", "prob").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto"))
+    slack, spot = F.col("n") * 1e-3 + 1, F.col("n") * F.col("prob")
+    return ranks.select("feature", "prob", "n", ((F.col("below") <= spot + slack) & (F.col("upto") >= spot - slack)).cast("int").alias("near"))
+
+
 @query(f"""with {FEATURES_SQL}, m as (select {MEDIANS_SQL} from features where binary_label = 0)
 select f.sample_id, {', '.join(f'round(coalesce(f.{c}, m.{c}), 6) as {c}' for c in FEATURES)} from features f, m""")
 def impute_benign_medians(spark, sf):
@@ -261,6 +278,11 @@ def sample_exact(spark, sf):
     return qu.sample_exact(fx.flows(spark, sf).select("sample_id", "label"), 777, seed=42)
 
 
+@query(ORACLES["sample_exact"])
+def sample_small(spark, sf):
+    return qu.sample_small(fx.flows(spark, sf).select("sample_id", "label"), 777, seed=42)
+
+
 @query(f"with {FLOWS_SQL} select sample_id, source_ip, flow_value from flows order by sample_id limit 500")
 def first_rows(spark, sf):
     return rc.first_rows(fx.flows(spark, sf), 500).select("sample_id", "source_ip", "flow_value")
@@ -1031,6 +1053,71 @@ def edge_sink(spark, sf):
     return rounded(spark.read.parquet(f"{path}/trace_edges"), 9, "attack_flow_ratio")
 
 
+@query(f"""with {FLOWS_SQL} select case sample_id % 2 when 0 then 'utf8' else 'latin' end as kind, sample_id::double as n,
+  label || ' – é' || destination_port as "Label" from flows where sample_id % 2 = 0 union all
+select 'latin', sample_id::double, label || ' é' || destination_port from flows where sample_id % 2 = 1""")
+def csv_encodings(spark, sf):
+    """Files of two encodings read as one table, with the file each row is from."""
+    path, df = new_path(spark, "csv"), fx.flows(spark, sf)
+    for i, (kind, dash) in enumerate((("UTF-8", " – é"), ("ISO-8859-1", " é"))):
+        part = df.where(F.col("sample_id") % 2 == i).select(F.col("sample_id").alias("n"), F.concat("label", F.lit(dash), F.col("destination_port").cast("string")).alias("Label"))
+        part.write.option("header", True).option("encoding", kind).csv(f"{path}/{i}")
+    files = {i: flow_csv.list_csv(spark, f"{path}/{i}") for i in range(2)}
+    utf8 = [f.rsplit("/", 1)[-1] for f in files[0]]
+    raw = flow_csv.read_flow_csvs(spark, [*files[0], *files[1]])
+    return raw.select(F.when(F.col("source_file").isin(utf8), "utf8").otherwise("latin").alias("kind"), F.col("n").cast("double").alias("n"), "Label")
+
+
+@query(f"""with {FLOWS_SQL} select source_ip as src_ip, destination_ip as dst_ip, destination_port as dst_port, flow_value as flow_byts_s from flows""")
+def generated_names(spark, sf):
+    """Flows under labelled headers, renamed to the generated layout."""
+    df = fx.flows(spark, sf).select(F.col("source_ip").alias("Source IP"), F.col("destination_ip").alias("Destination IP"),
+                                    F.col("destination_port").alias("Destination Port"), F.col("flow_value").alias("Flow Bytes/s"))
+    return rc.to_generated_names(df)
+
+
+@query(f"""with {FLOWS_SQL} select 'rows' as name, count(*)::double as value from flows union all
+select 'attacks', sum(binary_label)::double from flows union all select 'highest', max(unsup_score) from flows""")
+def flat_metrics(spark, sf):
+    """Numbers of a stored metrics document, plain and wrapped ones."""
+    path = new_path(spark, "metrics")
+    n = fx.flows(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.sum("binary_label").alias("attacks"), F.max("unsup_score").alias("highest")).first()
+    facts = {"rows": n["rows"], "attacks": {"value": n["attacks"], "unit": "flows"}, "highest": n["highest"], "done": True, "name": "x", "gone": None}
+    sinks.write_document(sinks.manifest(spark, metrics=facts), path)
+    return tables.flat_metrics(spark, path)
+
+
+@query(f"with {FLOWS_SQL} select round(flow_value, 4) as latency from flows where sample_id % 5 <> 0")
+def latency_values(spark, sf):
+    """The latency column of a stored CSV, without its gaps."""
+    path = f"{new_path(spark, 'latency')}.csv"
+    value = F.when(F.col("sample_id") % 5 != 0, F.round("flow_value", 4))
+    fx.flows(spark, sf).select(F.col("sample_id").alias("batch"), value.alias("latency_ms")).write.option("header", True).csv(path)
+    return tables.read_latency(spark, path)
+
+
+@query(f"with {FEATURES_SQL} select f_max_tax, f_total from features")
+def aligned_features(spark, sf):
+    return clean.align_features(fx.features(spark, sf), ["f_max_tax", "f_total"])
+
+
+@query(f"""with {FLOWS_SQL}, s as (select source_ip, count(*) as n from flows where binary_label = 1 group by 1)
+select 'sources' as stored, count(*) as rows, sum(n)::bigint as flows, (select count(*) from s) as said from s union all
+select 'flows', count(*), count(*), count(*) from flows""")
+def published_run(spark, sf):
+    """Two tables of a run published together, read back by the manifest; a
+    later run that breaks before its end changes nothing."""
+    path, df = new_path(spark, "published"), fx.flows(spark, sf)
+    sources = df.where("binary_label = 1").groupBy("source_ip").agg(F.count(F.lit(1)).alias("n"))
+    sinks.publish(spark, {"sources": sources, "flows": df.select("sample_id", "label")}, path, precision_target=0.995)
+    sinks.write_table(sources.limit(1), f"{path}/run-broken/sources")
+    stored, document = sinks.published(spark, path)
+    said = document.select("tables.*").first().asDict(True)
+    out = stored["sources"].agg(F.lit("sources").alias("stored"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("flows"))
+    out = out.unionByName(stored["flows"].agg(F.lit("flows").alias("stored"), F.count(F.lit(1)).alias("rows"), F.count(F.lit(1)).alias("flows")))
+    return out.withColumn("said", F.when(F.col("stored") == "flows", said["flows"]["rows"]).otherwise(said["sources"]["rows"]).cast("long"))
+
+
 # --- models --------------------------------------------------------------------
 
 DEFAULT = SupervisedConfig(columns=SNAKE)

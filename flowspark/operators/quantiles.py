@@ -133,6 +133,17 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     return local_table(df.sparkSession, rows, "feature string, prob double, value double")
 
 
+def approx_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], rank_error: float = 1e-4) -> DataFrame:
+    """(feature, prob, value): a value of the column whose rank among its n
+    finite values is off by ``rank_error`` * n at most. One scan for all
+    columns, whose sketches are merged; null for a column without values."""
+    sketches = [F.percentile_approx(finite(F.col(quoted(c)).cast("double")), list(probs), round(1 / rank_error)).alias(f"q{i}") for i, c in enumerate(columns)]
+    one = df.agg(*sketches)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("prob"), F.get(f"q{i}", F.lit(j)).alias("value"))
+                      for i, c in enumerate(columns) for j, p in enumerate(probs)])
+    return one.select(F.inline(cells))
+
+
 def hash_cutoffs(df: DataFrame, sample_id: str, group: str, takes: dict, seed: int) -> dict:
     """Cut keys so that exactly ``k`` rows of a group lie at or below each.
 
@@ -176,7 +187,13 @@ def sample_exact(df: DataFrame, n: int, sample_id: str = "sample_id", seed: int
     return df.where(within_cut(sample_id, seed, F.lit(cut[0]), F.lit(cut[1])))
 
 
+def sample_small(df: DataFrame, n: int, sample_id: str = "sample_id", seed: int = 42) -> DataFrame:
+    """The rows of ``sample_exact`` in one scan, for n rows that fit a task:
+    every task keeps its n smallest keys, and those meet."""
+    return df.orderBy(hash_order(sample_id, seed), F.col(quoted(sample_id)).cast("long")).limit(n)
+
+
 __all__ = [
-    "Place", "exact_quantiles", "hash_cutoffs", "order_statistics", "quantile_table",
-    "sample_exact", "within_cut",
+    "Place", "approx_quantiles", "exact_quantiles", "hash_cutoffs", "order_statistics", "quantile_table",
+    "sample_exact", "sample_small", "within_cut",
 ]

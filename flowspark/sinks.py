@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
@@ -12,6 +13,7 @@ from flowspark.functions.scalars import quoted
 from flowspark.operators.alerts import medium_flows
 from flowspark.operators.edges import edge_table, trace_metadata
 from flowspark.operators.split import label_mapping
+from flowspark.staging import file_system
 
 
 def json_safe(df: DataFrame) -> DataFrame:
@@ -69,6 +71,44 @@ def _literal(value) -> Column:
     return F.lit(value)
 
 
+def publish(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str, **facts) -> str:
+    """Write the tables of a run so that they appear together, and return the run's name.
+
+    Everything goes to a folder of the run, with a manifest of paths, row
+    counts and facts. Last of all one small file that names the run is put in
+    the place of the former one by a rename. A run that breaks before that
+    leaves what readers see as it was.
+    """
+    run = f"run-{uuid.uuid4().hex}"
+    for name, table in tables.items():
+        write_table(table, f"{folder}/{run}/{name}")
+    rows = {name: spark.read.parquet(f"{folder}/{run}/{name}").count() for name in tables}
+    write_document(manifest(spark, run=run, tables={n: {"path": f"{run}/{n}", "rows": c} for n, c in rows.items()}, facts=facts), f"{folder}/{run}/manifest")
+    jvm = spark.sparkContext._jvm
+    fs, path = file_system(spark, f"{folder}/CURRENT")
+    fresh = file_system(spark, f"{folder}/{run}/CURRENT")[1]
+    out = fs.create(fresh, True)
+    out.write(bytearray(run.encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fresh, path, how)
+    return run
+
+
+def published(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables and manifest of the run published last; an error if a table lacks rows."""
+    run = spark.read.text(f"{folder}/CURRENT").first()[0]
+    document = spark.read.json(f"{folder}/{run}/manifest")
+    tables = {}
+    for name, entry in document.first()["tables"].asDict(True).items():
+        tables[name] = spark.read.parquet(f"{folder}/{entry['path']}")
+        if tables[name].count() != entry["rows"]:
+            raise ValueError(f"{name} of {run} has not the rows of its manifest")
+    return tables, document
+
+
 def save_prepared(df: DataFrame, features: Sequence[str], folder: str, cols: FlowColumns = FlowColumns()) -> None:
     """Split tables, feature tables, feature list, label map, trace and edges.
 

@@ -115,3 +115,18 @@ def test_level_counts_add_up(spark):
     assert sum(r["count"] for r in got) == 1000 and len(got) == 4
     only = alerts.alert_distribution(alerts.assign_alerts(df.where("rf_prob < 0.1 and unsup_score < 0.5")), "y").collect()
     assert {r.alert_level: r.attack_ratio for r in only if r.alert_level != "LOW"} == {"MEDIUM": 0.0, "HIGH": 0.0, "CRITICAL": 0.0}
+
+
+def test_one_scan_sample_and_sketch(spark):
+    from flowspark.operators.quantiles import approx_quantiles, sample_exact, sample_small
+
+    df = spark.range(5000).selectExpr("id as sample_id", "cast(pmod(hash(id), 100000) as double) as `a.b`", "cast(null as double) as gone")
+    for n in (0, 1, 700, 6000):
+        assert sorted(sample_small(df, n).collect()) == sorted(sample_exact(df, n).collect())
+    values = sorted(r[1] for r in df.collect())
+    for r in approx_quantiles(df, ["a.b", "gone"], [0.0, 0.3, 1.0], 1e-2).collect():
+        if r["feature"] == "gone":
+            assert r["value"] is None
+        else:
+            rank = values.index(r["value"])
+            assert abs(rank - r["prob"] * 5000) <= 51

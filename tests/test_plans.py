@@ -68,6 +68,11 @@ def test_all_stages(spark, ready, tmp_path):
     forest, names, stored_models = store.load_models(spark, models)
     again = fuse.fuse_and_alert(flows, forest, names, stored_models)
     assert again.config == run.config and again.predictions.exceptAll(run.predictions).isEmpty()
+    few = SupervisedConfig(boost_rounds=2, boost_depth=3)
+    boosted = supervised.supervised_score(flows, features, few, boosted=True)
+    store.save_supervised(spark, boosted, features, models, few)
+    read_back = store.load_models(spark, models)[0]
+    assert read_back.kind == "boosted" and read_back.trees == 2 and read_back.nodes.exceptAll(boosted.model.nodes).isEmpty()
     weights = json.loads(next((tmp_path / "p/ensemble_config").glob("*.json")).read_text())["config"]["unsup_weights"]
     assert sum(weights.values()) == pytest.approx(1.0)
     found = trace.trace_attacks(stored, run.predictions, run.summary)
@@ -86,6 +91,23 @@ def test_all_stages(spark, ready, tmp_path):
     assert "trace_edges" not in loaded and loaded["trace_metadata"].count() == n_test
 
 
+def test_a_run_appears_as_a_whole(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    first = sinks.publish(spark, {"a": spark.range(3), "b": spark.range(5)}, folder, cut=0.5)
+    tables, document = sinks.published(spark, folder)
+    assert tables["a"].count() == 3 and document.first()["facts"]["cut"] == 0.5 and document.first()["run"] == first
+    broken = spark.range(4).select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish(spark, {"a": spark.range(9), "b": broken}, folder)
+    assert sinks.published(spark, folder)[0]["a"].count() == 3
+    second = sinks.publish(spark, {"a": spark.range(7)}, folder)
+    tables, document = sinks.published(spark, folder)
+    assert set(tables) == {"a"} and tables["a"].count() == 7 and document.first()["run"] == second
+    sinks.write_table(spark.range(2), f"{folder}/{second}/a")
+    with pytest.raises(ValueError, match="has not the rows"):
+        sinks.published(spark, folder)
+
+
 def test_json_keeps_no_nan(spark):
     df = spark.sql("select double('nan') a, array(double('inf'), 1d) b, named_struct('c', float('-inf'), 'd', 'x') s, map('k', double('nan')) m, 3 i")
     assert json.loads(sinks.to_json_lines(df).first()[0]) == {"a": None, "b": [None, 1.0], "s": {"c": None, "d": "x"}, "m": {"k": None}, "i": 3}
