@@ -221,3 +221,15 @@ def test_chains_against_all_subsets():
                     if all(a[i] < a[j] and b[i] < b[j] for i, j in zip(s, s[1:]))), default=0)
         found = passages.chains(a, b, passages.Config(least_anchors=1))[0]
         assert math.isclose(len(found) - c.gap * (a[found[-1]] - a[found[0]] + b[found[-1]] - b[found[0]]), best)
+
+
+def test_many_parts_of_a_long_chain():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 1 << 16, 28 * 1000).astype(np.uint16)
+    y = x.copy()
+    for i in range(20, len(x), 28):  # 20 equal words, then 8 others
+        y[i : i + 8] += 1
+    y[14000:14100] = x[14000:14100]
+    a = np.arange(0, len(x) - 28, 28)
+    got = passages.passages_of(x, y, a, a, passages.Config())
+    assert any(s <= 14000 and e >= 14100 for s, e, *_ in got) and len(got) < 5
