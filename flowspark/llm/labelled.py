@@ -17,7 +17,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
              .groupBy(F.col("doc_id").alias("__id")).agg(F.max(col(label)).cast("int").alias("y")))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "y", "text")
+    same = F.col("doc_id") == F.col("__id")
+    if texts.schema["doc_id"].dataType != chosen.schema["__id"].dataType:  # compared as text, like the folds
+        same = F.col("doc_id").cast("string") == F.col("__id").cast("string")
+    return texts.join(F.broadcast(chosen), same).select("doc_id", "y", "text")
 
 
 def fitted_rows(sample: DataFrame, max_rows: int):

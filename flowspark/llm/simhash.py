@@ -126,12 +126,19 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id; of
-    rows that repeat this id one stays, as do all rows without an id."""
-    kept = simhash_groups(docs.where(col(doc_id).isNotNull()), doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    docs = without(docs, "__kept")
-    named = docs.where(col(doc_id).isNotNull()).join(kept, col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(col(doc_id).isNull()))
+    """``docs`` with one row of each group: that with the smallest id.
+
+    Rows are told apart by a number of their own, so different texts under one
+    id both stay if they are in different groups, and of equal rows one stays.
+    Rows without an id all stay. Null, empty and blank texts are one group;
+    long texts count as a whole; an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    numbered = scratch.write(without(docs, "__row").withColumn("__row", F.monotonically_increasing_id()), "documents")
+    rows = numbered.where(col(doc_id).isNotNull()).select(F.struct(col(doc_id).alias("id"), F.col("__row").alias("row")).alias("row"), col(text).alias("text"))
+    kept = simhash_groups(rows, "row", "text").where("doc_id = component_id").select(F.col("doc_id.row").alias("__row"))
+    kept = kept.union(numbered.where(col(doc_id).isNull()).select("__row"))
+    return numbered.join(kept, "__row", "left_semi").select(*[col(c) for c in docs.columns if c != "__row"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -107,7 +107,8 @@ def _logistic(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, y: np.ndarr
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
-    """Fit on ``labels.toxic``; without labelled texts every score is 0.5."""
+    """Fit on ``labels.toxic``; without labelled texts every score is 0.5. Ids
+    may be of any type; an empty table of documents is one without labels."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.write(labelled_sample(docs, labels, "toxic", MOD, HELD_OUT, config.max_rows, config.max_bytes), "sample")
     totals = {int(r["y"] > 0): r["n"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -134,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
             found = [np.searchsorted(chosen, _active(t, config, table)).astype(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "ids"])
 
-    rows = fitted_rows(sample.mapInArrow(run, "doc_id long, y int, ids array<int>"), config.max_rows)
+    schema = T.StructType([sample.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    rows = fitted_rows(sample.mapInArrow(run, schema), config.max_rows)
     scratch.drop(sample)
     found = rows["ids"].combine_chunks()
     lengths = np.diff(found.offsets.to_numpy()) if len(rows) else np.zeros(0, np.int64)
@@ -162,7 +164,9 @@ def with_toxicity(docs: DataFrame, model: Model, text: str = "text", name: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """``docs`` without those that score ``cut`` or more."""
+    """``docs`` without those that score ``cut`` or more. Every row is judged
+    for itself: null and empty texts alike, repeated rows alike, long texts as a
+    whole; an empty table stays empty."""
     return with_toxicity(docs, fit(docs, labels), name="__toxicity").where(F.col("__toxicity") < cut).drop("__toxicity")
 
 

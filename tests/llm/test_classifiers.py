@@ -46,6 +46,17 @@ def test_classifier_awkward(spark, awkward, nothing, module, add):
     assert add(nothing, model, name="s").count() == 0
 
 
+def test_toxicity_by_text_ids(spark):
+    """Ids as text give the model that the same ids as numbers give."""
+    rows = [(i, f"vile slur {i} vile slur" if i % 3 == 0 else f"a calm remark {i} on the garden") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    kept = [{int(r["doc_id"]) for r in toxicity.drop_toxic(d, x).collect()} for d, x in
+            ((docs, labels), (named, labels), (named, labels.withColumn("doc_id", labels.doc_id.cast("string"))))]
+    assert kept == [{i for i, _ in rows if i % 3}] * 3
+
+
 def test_long_text_is_seen_whole():
     """A network that looks for one byte finds it anywhere, and slices of characters overlap."""
     c = quality.Config(filters=1)

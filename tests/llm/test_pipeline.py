@@ -88,3 +88,38 @@ def test_copies_keep_one_document(spark):
     docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_copies(spark, staged(corpus_pipeline.lines(spark, docs, SF), "lines"), SF).collect()}
     assert [out.get(100), out.get(200)] == texts and sum(i >= 100 for i in out) == 2
+
+
+def test_near_copies_keep_their_text(spark):
+    """A site of 80 pages with two families of 10 near copies, each with one edited line of 30: every line of a text stays."""
+    rows = [(i, "menu\n" + "\n".join(f"page {i} has line {k} and {i * k} words" for k in range(9)), "site") for i in range(60)]
+    full = {}
+    for t, kind in enumerate(("first", "second")):
+        for c in range(10):
+            body = [f"{kind} line {k} tells of things {k * 7} and more" for k in range(30)]
+            body[3 * c] = f"edited in copy {c} of {kind} only"
+            full[100 * (t + 1) + c] = "\n".join(body)
+    rows += [(i, "menu\n" + text, "site") for i, text in full.items()]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = staged(corpus_pipeline.lines(spark, docs, SF), "lines")
+    got = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert {i: got[i] for i in full} == full and not any("menu" in t for t in got.values())
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_copies(spark, cut, SF).collect()}
+    for family in (range(100, 110), range(200, 210)):
+        assert any(left.get(i) == full[i] for i in family)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, name):
+    """Nulls in every column, empty and repeated rows, a clashing column; and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines long"
+    rows = [(1, "one text with words", "en", "a", 19, 1), (1, "one text with words", "en", "a", 19, 1), (2, None, None, None, None, None), (3, "", "en", "a", 0, 0),
+            (None, "no id at all", "en", "b", 12, 1), (None, None, None, None, None, None), (4, "w " * 50_000, "en", "a", 100_000, 1)]
+    docs, stage = spark.createDataFrame(rows, schema), dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, SF)
+    ids = [r["doc_id"] for r in out.collect()]
+    want = {"toxicity": 7, "line_dedup": 7, "simhash": 5, "sentencepiece": 7}
+    assert len(ids) == want[name] if name in want else {1, 4} >= set(ids) - {None}
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    if name != "sentencepiece":
+        assert out.columns == docs.columns

@@ -27,7 +27,7 @@ def test_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {re.match(r"op(\d+)_", n)[1] for n in registry.QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in registry.QUERIES} == {str(i) for i in range(1, 14)}
 
 
 def test_lines_by_hand(spark):
@@ -45,6 +45,25 @@ def test_lines_awkward(awkward, nothing):
     assert lines.line_dedup(nothing).count() == 0
 
 
+def test_near_copies_are_one_page(spark):
+    """Copies with a line of their own count once; a menu on unlike pages counts on each of them."""
+    rng = np.random.default_rng(3)
+    words = lambda: " ".join(rng.choice(list("abcdefghijklmnop"), 12))
+    base, unlike = [words() for _ in range(30)], []
+    for i in range(60):
+        unlike.append((i, "\n".join(["menu", "second menu line", *[words() for _ in range(int(rng.integers(8, 30)))]]), "s"))
+    family = []
+    for i in range(100, 300):
+        text = list(base)
+        text[int(rng.integers(30))] = words()
+        family.append((i, "\n".join(["menu", "second menu line", *text]), "s"))
+    docs = spark.createDataFrame([*unlike, *family, *[(i + 1000, t, None) for i, t, _ in unlike]], "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["n_dropped"] for r in lines.line_dedup(docs, count_copies=False).collect()}
+    assert set(out.values()) == {2} and len(out) == docs.count()
+    plain = {r["doc_id"]: r["n_dropped"] for r in lines.line_dedup(docs).collect()}
+    assert plain[100] > 20  # what counting every copy does
+
+
 def test_mix_invariants(documents):
     rows, mix = mixing.mix_sources(documents)
     t = rows.toPandas()
@@ -133,9 +152,17 @@ def test_simhash_awkward(awkward, nothing):
     kept = simhash.drop_near_copies(awkward)
     assert kept.columns == awkward.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 3, 6, 7, 8]
     assert kept.where("doc_id is null").count() == 1
+    assert simhash.drop_near_copies(nothing).columns == nothing.columns and simhash.drop_near_copies(nothing).count() == 0
     assert simhash.simhash_groups(nothing).count() == 0
 
 
+def test_texts_under_one_id_are_rows_of_their_own(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i * 7}" for i in range(40))
+    docs = spark.createDataFrame([("x", one), ("x", two), ("x", two), ("y", one), (None, one), (None, None)], "doc_id string, text string")
+    kept = [tuple(r) for r in simhash.drop_near_copies(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([("x", one), ("x", two), (None, one), (None, None)], key=repr)
+
+
 def test_pieces_round_trip(documents, awkward, nothing):
     for docs in (documents, awkward):
         out = pieces.decode(pieces.encode(docs))
