@@ -31,7 +31,9 @@ class Config:
     audits: int = 512
     recall: float = 0.98
     max_lists: int = 4_096
+    #: Rows and queries of a list that meet in one task.
     block_rows: int = 4_096
+    query_rows: int = 16_384
     columns: int = 16
     #: Width of the test: larger is safer and slower.
     epsilon: float = 2.1
@@ -163,7 +165,6 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     placed = scratch.write(rows.mapInArrow(place, f"vec_id long, vector {kind}, list int"), "placed")
     sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / config.block_rows).cast("int").alias("blocks"))  # a row per list
     sizes = scratch.write(sizes, "lists")
-    blocks = placed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
 
     def probe(batches):
         for batch in batches:
@@ -175,7 +176,7 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
 
     asked = queries.select(col(vec_id).cast("long").alias("vec_id"), col(vector).alias("vector")).where(ok).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = asked.mapInArrow(probe, f"query_id long, query {kind}, lists array<int>").select("query_id", "query", F.posexplode("lists").alias("nth", "list"))
-    asked = scratch.write(asked.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "probes")
+    asked = scratch.write(asked, "probes")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, qids = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
@@ -187,8 +188,15 @@ def nearest(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
         return pa.table({"query_id": pa.array(qids[r], pa.int64()), "vec_id": pa.array(ids[c], pa.int64()), "score": pa.array(score, pa.float64())})
 
     def search(probes: DataFrame) -> DataFrame:
-        keys = ["list", "block"]
-        return blocks.groupBy(*keys).cogroup(probes.select(*keys, "query_id", "query", "bound").groupBy(*keys)).applyInArrow(scan, _RESULT)
+        """Every block of a list's rows meets every part of its queries, so no task grows with the table."""
+        parts = F.ceil(F.count(F.lit(1)) / config.query_rows).cast("int").alias("parts")
+        grid = scratch.write(probes.groupBy("list").agg(parts).join(sizes, "list"), "grid")  # a row per list
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+        keys = ["list", "block", "part"]
+        left = placed.join(grid, "list").select("list", one("vec_id", "blocks").alias("block"), each("parts").alias("part"), "vec_id", "vector")
+        right = probes.join(grid, "list").select("list", each("blocks").alias("block"), one("query_id", "parts").alias("part"), "query_id", "query", "bound")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, _RESULT)
 
     by_rank = W.partitionBy("query_id").orderBy("score", "vec_id")
     top = lambda found: found.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= config.k)

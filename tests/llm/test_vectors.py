@@ -43,6 +43,15 @@ def test_search_ties_and_hot_list(spark):
     assert got[got.query_id == 200].sort_values("rank").vec_id.tolist() == list(range(10))
 
 
+def test_search_in_small_parts(spark, embeddings):
+    """How many rows and queries meet in a task does not change what is found."""
+    asked = embeddings.where("vec_id % 20 = 0")
+    found = [sorted(map(tuple, ann.nearest(embeddings, asked, config=ann.Config(block_rows=rows, query_rows=queries)).collect()))
+             for rows, queries in ((4_096, 16_384), (4_096, 3), (50, 7))]
+    assert found[0] == found[1]  # the same blocks
+    assert len(found[2]) == len(found[0]) and len(set(found[2]) & set(found[0])) >= 0.99 * len(found[0])
+
+
 _ODD = [(0, [1.0, 0.0], 1), (100, [1.0, 0.01], 1), (1, [1.0, 0.02], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [NAN, 1.0], 1), (5, [INF, 1.0], 1), (6, [1.0, None], 1),
         (7, [1.0], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0], 2), (9, [1.0, 0.0], 2), (None, [1.0, 0.0], 1), (200, None, 1), (10, [-1.0, 0.0], 1)]
 _KIND = "vec_id long, embedding array<float>, label int"
