@@ -1,6 +1,8 @@
 """Labelled flow CSVs: many files, two encodings, differing headers.
 
-Files are listed and their first lines read; everything else is a lazy scan.
+Files are listed and their first lines read; everything else is one lazy scan.
+Bytes are read as Latin-1, which keeps each of them, and every cell is decoded
+where it is parsed, so no scan is needed to learn a file's encoding.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 import csv
 import warnings
 from collections.abc import Sequence
-from urllib.parse import unquote
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -19,6 +21,7 @@ from flowspark.staging import file_system, staged
 # The characters of code page 1252 at 0x80..0x9F; five codes are unused.
 CP1252_UPPER = "€\u0081‚ƒ„…†‡ˆ‰Š‹Œ\u008dŽ\u008f\u0090‘’“”•–—˜™š›œ\u009džŸ"
 _C1 = "".join(chr(c) for c in range(0x80, 0xA0))
+_READERS = 16  # headers read at a time
 
 
 def list_csv(spark: SparkSession, folder: str) -> list[str]:
@@ -38,24 +41,29 @@ def _cp1252(text: Column) -> Column:
     return F.translate(text, _C1, CP1252_UPPER)
 
 
-def _file_facts(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[str, bool]]:
-    """Header line and UTF-8 validity of every file, by one scan over its lines:
-    no file is ever held as a whole."""
-    lines = spark.read.text(list(files)).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"), "value")
-    filled = F.trim("value") != ""
-    first = F.min_by(F.when(filled, F.col("value")), F.when(filled, F.col("place")))
-    facts = lines.groupBy("path").agg(first.alias("header"), F.min(F.is_valid_utf8("value")).alias("utf8"))
-    latin = _cp1252(F.decode(F.col("header").cast("binary"), "ISO-8859-1"))
-    shown = facts.select("path", "utf8", F.when(F.col("utf8"), F.col("header")).otherwise(latin).alias("header"))
-    return {_bare(r.path): (r.header or "", r.utf8) for r in shown.collect()}  # one row per file
+def _cell(raw: Column) -> Column:
+    """Text of a cell read as Latin-1: its bytes as UTF-8 if they are that,
+    else as code page 1252. Most cells are plain ASCII and stay as they are."""
+    utf8 = F.encode(raw, "ISO-8859-1").cast("string")
+    return F.when(F.octet_length(raw) == F.char_length(raw), raw).when(F.is_valid_utf8(utf8), utf8).otherwise(_cp1252(raw))
 
 
-def _bare(path: str) -> str:
-    """Path without the scheme spellings that listing and reading differ in."""
-    path = unquote(path)
-    return "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
+def _header(spark: SparkSession, file: str) -> str:
+    """First filled line of a file; no more of it is read."""
+    fs, path = file_system(spark, file)
+    java = spark.sparkContext._jvm.java.io
+    reader = java.BufferedReader(java.InputStreamReader(fs.open(path), "ISO-8859-1"))
+    try:
+        line = reader.readLine()
+        while line is not None and not line.strip(" "):
+            line = reader.readLine()
+    finally:
+        reader.close()
+    line = line or ""
+    try:
+        return line.encode("latin-1").decode("utf-8")
+    except UnicodeDecodeError:
+        return line.translate(str.maketrans(_C1, CP1252_UPPER))
 
 
 def _names(header: str) -> list[str]:
@@ -75,32 +83,30 @@ def read_flow_csvs(
 ) -> DataFrame:
     """Stack CSVs by column name as text columns, with their file name.
 
-    Files with the same header and encoding share one scan. Files without the
-    label column are left out; an error when none is left. With ``label=None``
-    all files are taken.
+    Files with the same header share one scan, whatever their encodings: each
+    cell is UTF-8 where its bytes are valid UTF-8 and code page 1252 otherwise.
+    Files without the label column are left out; an error when none is left.
+    With ``label=None`` all files are taken. Empty files have no columns. No
+    job runs here.
     """
-    facts = _file_facts(spark, files)
+    with ThreadPoolExecutor(_READERS) as pool:
+        headers = list(pool.map(lambda f: _header(spark, f), files))
     groups: dict[tuple, list[str]] = {}
-    for f in files:
-        header, utf8 = facts.get(_bare(f), ("", True))
+    for f, header in zip(files, headers, strict=True):
         names = tuple(_names(header)) if header else ()
         if label is not None and label not in names:
             warnings.warn(f"skipped, no column {label!r}: {f}")
             continue
-        groups.setdefault((names, utf8), []).append(f)
+        groups.setdefault(names, []).append(f)
     if not groups:
         raise ValueError(f"none of the files has a column {label!r}")
     out = None
-    for (names, utf8), paths in groups.items():
+    for names, paths in groups.items():
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        raw = spark.read.csv(paths, schema=schema, header=True, enforceSchema=True, encoding="UTF-8" if utf8 else "ISO-8859-1")
-        cells = []
-        for i, n in enumerate(names):
-            text = F.col(f"c{i}") if utf8 else _cp1252(F.col(f"c{i}"))
-            cells.append(blank_to_null(text).alias(n))
+        raw = spark.read.csv(paths, schema=schema, header=True, enforceSchema=True, encoding="ISO-8859-1")
         part = raw.select(
-            *cells, F.col("_metadata.file_name").alias(origin),
-            F.col("_metadata.file_block_start").alias("__block"))
+            *[blank_to_null(_cell(F.col(f"c{i}"))).alias(n) for i, n in enumerate(names)],
+            F.col("_metadata.file_name").alias(origin), F.col("_metadata.file_block_start").alias("__block"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

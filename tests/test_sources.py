@@ -68,6 +68,32 @@ def test_genuine_replacement_character_is_utf8(spark, tmp_path):
     assert flow_csv.read_flow_csvs(spark, flow_csv.list_csv(spark, str(tmp_path))).first().a == "�é"
 
 
+def test_encodings_by_cell(spark, tmp_path):
+    """UTF-8 and code page 1252 in one file and across files of one header; nothing runs before the scan."""
+    head = "Näme,Label\n"
+    (tmp_path / "b.csv").write_bytes(head.encode("cp1252") + "é – €,L\n".encode("cp1252") + "é – €,L\n".encode() + b"plain,L\n\x81,L\n")
+    (tmp_path / "c.csv").write_bytes(b"\n\n" + head.encode() + '"q, é",L\n'.encode("cp1252"))
+    (tmp_path / "d.csv").write_bytes(b"")
+    sc = spark.sparkContext
+    sc.setJobGroup("csv headers", "")
+    try:
+        with pytest.warns(UserWarning, match="d.csv"):
+            df = flow_csv.read_flow_csvs(spark, flow_csv.list_csv(spark, str(tmp_path)))
+        assert not sc.statusTracker().getJobIdsForGroup("csv headers")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r["source_file"], r["Näme"]) for r in df.collect()) == [
+        ("b.csv", "plain"), ("b.csv", "\x81"), ("b.csv", "é – €"), ("b.csv", "é – €"), ("c.csv", "q, é")]
+
+
+def test_byte_order_mark(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + "Näme,Label\né,L\n".encode())
+    (tmp_path / "b.csv").write_bytes("Näme,Label\n,L\n".encode())
+    df = flow_csv.read_flow_csvs(spark, flow_csv.list_csv(spark, str(tmp_path)))
+    assert df.columns == ["Näme", "Label", "source_file", "__block"]
+    assert sorted((r["source_file"], r["Näme"]) for r in df.collect()) == [("a.csv", "é"), ("b.csv", None)]
+
+
 def test_text_feature_drops_all_rows_unless_left_out(spark):
     df = spark.createDataFrame([("x", "1", "BENIGN"), ("y", "2", "DoS")], "t string, n string, Label string")
     with pytest.raises(ValueError):
