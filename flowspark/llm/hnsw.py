@@ -13,8 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LINKS, BUILD_BEAM, BATCH, TOP = 16, 48, 1024, 128
-_EXTRA = 8
+LINKS, BUILD_BEAM, WALK_BEAM, BATCH, TOP = 32, 64, 16, 1024, 128
+_BACK, _EXTRA = 16, 32  # links that a point gets back at least, room for them
 
 
 @dataclass
@@ -79,21 +79,21 @@ def _keep(ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _connected(x: np.ndarray, links: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """``links`` with extra columns so that pruning cuts no point off: a point
-    to which none of its own neighbours links back is hung on the nearest of
-    few such, then what ``roots`` cannot reach on the most similar that they can."""
+    """``links`` with extra columns so that pruning makes no point hard to meet:
+    a point to which few of its own neighbours link back is hung on the nearest
+    of those that do not, then what ``roots`` cannot reach on the most similar that they can."""
     n = len(links)
     extra, used, seen, front = np.full((n, _EXTRA), -1), np.zeros(n, int), np.zeros(n + 1, bool), np.unique(roots)
     seen[n] = True
     for i in range(0, n, BATCH):
         to = links[i : i + BATCH]
-        back = (np.where((to >= 0)[:, :, None], links[to], -1) == np.arange(i, i + len(to))[:, None, None]).any((1, 2))
-        for u in (np.flatnonzero(~back) + i).tolist():
-            at = [v for v in links[u].tolist() if v >= 0 and used[v] < _EXTRA]
-            if at:
-                best = max(at, key=lambda v: float(x[v] @ x[u]))
-                extra[best, used[best]] = u
-                used[best] += 1
+        back = (np.where((to >= 0)[:, :, None], links[to], -1) == np.arange(i, i + len(to))[:, None, None]).any(2).sum(1)
+        for u in (np.flatnonzero(back < _BACK) + i).tolist():
+            at = links[u][links[u] >= 0]
+            at = at[(used[at] < _EXTRA) & ~(links[at] == u).any(1)]
+            at = at[np.argsort(-(x[at] @ x[u]), kind="stable")[: _BACK - back[u - i]]]
+            extra[at, used[at]] = u
+            used[at] += 1
     while True:
         while len(front):
             seen[front] = True
@@ -178,7 +178,7 @@ class Graph:
         """Points (places in the whole table) met on the levels built so far."""
         met = None
         for level in self.levels:
-            met = self._walk(level, q, met, 4)[0]
+            met = self._walk(level, q, met, WALK_BEAM)[0]
         return met
 
     def _walk(self, level: Level, q: np.ndarray, met: np.ndarray | None, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ class Graph:
         """Points and similarities of a beam per query; ``own`` names points to start from as well."""
         met = None
         for level in self.levels[:-1]:
-            met = self._walk(level, q, met, 4)[0]
+            met = self._walk(level, q, met, WALK_BEAM)[0]
         if own is not None:
             met = own[:, None] if met is None else np.concatenate([met, own[:, None]], 1)
         return self._walk(self.levels[-1], q, met, beam)

@@ -3,16 +3,19 @@
 Equal vectors of a label are one class from the start. The classes of a label
 are dealt into shards of bounded size, each shard gets a graph, and every shard
 is asked for the neighbours of all classes of its label, a shard of queries at
-a time. An audit compares queries with all points of the shard until enough of
-them have links; where links are so rare that it runs through all queries, their
-comparison is the answer, as it is where the graph misses a link of the audit.
-A beam that is full of links is widened for its query. Links are verified by cosine in double precision, counted per class,
-and joined within the task, so that a task sends one row per class, not one
-per pair; components are then united across tasks.
+a time. Two audits set the beam, which doubles until both pass: queries planted
+at the linking cosine from points of the shard must meet these points, which
+measures recall also where hardly a vector has links; and real queries, compared
+with all points, must meet all their links. A beam that is full of links is
+widened for its query; a query that meets links to 1/64 of the shard is compared
+with the shard, at no more than 64 comparisons a link. Cosines near the bound are verified in double precision. Links are counted per class and joined
+within the task as they are found, so that a task holds no pairs of a dense
+shard and sends one row per class; components are then united across tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,55 +33,74 @@ class Config:
     least: float = 0.93
     shard_rows: int = 16_384
     beam: int = 32
-    #: Queries per task with links to others that are checked against all points; where fewer have any, all queries are.
+    #: Planted queries per shard, and real ones per shard and shard of queries, whose links must be met.
+    planted: int = 1_024
     audits: int = 256
+    #: Shares that must be met: of planted points, which lie as far off as a link may, and of real links.
+    planted_recall: float = 0.999
     recall: float = 1.0
     seed: int = 5
 
 
-_AUDIT = 256  # queries compared with all points at a time
+_BLOCK = 256  # queries compared with all points at a time
 _TILE = 1 << 16  # pairs verified at a time
 _SLACK = 1e-4  # single precision is off by less
+_WIDER = 8  # how much wider the beam of a query gets that is full of links
+_DENSE = 64  # comparisons a link that cost less than one more search
 
 
-def _compared(graph: Graph, q: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs that may link, by comparing all with all."""
-    out = [np.nonzero(q[i : i + 256] @ graph.x.T >= near) for i in range(0, len(q), 256)]
-    return np.concatenate([a + 256 * i for i, (a, _) in enumerate(out)]), np.concatenate([b for _, b in out])
-
-
-def _hits(graph: Graph, q: np.ndarray, own: np.ndarray | None, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs that may link, by the graph if it meets all links of the audit."""
+def _linked(graph: Graph, q: np.ndarray, own: np.ndarray | None, beam: int, config: Config) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Queries, points and similarities of pairs that may link, some queries at
+    a time, and whether these queries were compared with all points."""
     n, near = len(graph.x), config.least - _SLACK
-    order = np.random.default_rng(config.seed).permutation(len(q))
-    wanted, linked, tried = [], 0, 0
-    while tried < len(q) and linked < config.audits:
-        rows = order[tried : tried + _AUDIT]
-        p, i = np.nonzero(graph.x @ q[rows].T >= near + _SLACK / 2)  # clear of rounding
-        other = np.ones(len(p), bool) if own is None else p != own[rows[i]]
-        linked, tried = linked + len(np.unique(i[other])), tried + len(rows)
-        wanted.append((rows[i], p))
-    if tried == len(q):  # links are rare or queries few: all are compared anyway, clear of rounding on the other side
-        return _compared(graph, q, near)
-    audit = order[:tried]
-    r, c = (np.concatenate(x) for x in zip(*wanted, strict=True))
-    wanted = np.sort(r * n + c)
-    beam = min(config.beam, n)
-    pairs, todo, width = [], np.arange(len(q)), beam
+    todo, width = np.arange(len(q)), min(beam, n)
     while len(todo):
-        again = []
-        for i in range(0, len(todo), max(1, BATCH * config.beam * 4 // max(width, config.beam * 4))):
-            rows = todo[i : i + max(1, BATCH * config.beam * 4 // max(width, config.beam * 4))]
+        again, step = [], max(1, BATCH * 128 // max(width, 128))
+        for i in range(0, len(todo), step):
+            rows = todo[i : i + step]
             ids, sims = graph.search(q[rows], width, None if own is None else own[rows])
             full = (sims >= near).all(1) & (width < n)
-            r, c = np.nonzero((sims >= near) & ~full[:, None] & (ids >= 0))
-            pairs.append((rows[r], ids[r, c]))
+            r, c = np.nonzero((sims >= near) & ~full[:, None])
+            yield rows[r], ids[r, c], sims[r, c], False
             again.append(rows[full])
-        todo, width = np.concatenate(again), min(n, width * 8)
-    r, c = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    met = np.isin(wanted, (r * n + c)[np.isin(r, audit)], assume_unique=True).sum()
-    # a beam that misses links: comparing all costs less than one search with a wider beam
-    return (r, c) if met >= config.recall * len(wanted) else _compared(graph, q, near)
+        todo = np.concatenate(again)
+        if width * _DENSE >= n:
+            break
+        width *= _WIDER
+    for i in range(0, len(todo), _BLOCK):
+        rows = todo[i : i + _BLOCK]
+        sims = q[rows] @ graph.x.T
+        r, c = np.nonzero(sims >= near)
+        yield rows[r], c, sims[r, c], True
+
+
+def _wide_enough(graph: Graph, q: np.ndarray, own: np.ndarray | None, wanted: np.ndarray, beam: int, recall: float, config: Config) -> int:
+    """``beam``, doubled until searches of ``q`` meet the share ``recall`` of the pairs ``wanted`` (query * points + point)."""
+    n = len(graph.x)
+    while beam < n and len(wanted):
+        met = np.concatenate([r * n + c for r, c, _, _ in _linked(graph, q, own, beam, config)])
+        if np.isin(wanted, met).sum() >= recall * len(wanted):
+            break
+        beam *= 2
+    return min(beam, n)
+
+
+def _planted_beam(graph: Graph, config: Config) -> int:
+    """The beam that meets points of the graph from queries at the linking cosine from them."""
+    rng, x = np.random.default_rng(config.seed), graph.x
+    at = rng.permutation(len(x))[: config.planted]
+    aside = rng.normal(size=(len(at), x.shape[1]))
+    aside -= (aside * x[at]).sum(1, keepdims=True) * x[at]
+    aside /= np.maximum(np.sqrt((aside * aside).sum(1, keepdims=True)), 1e-30)
+    q = _unit(config.least * x[at] + np.sqrt(max(0.0, 1 - config.least**2)) * aside)
+    return _wide_enough(graph, q, None, np.arange(len(at)) * len(x) + at, config.beam, config.planted_recall, config)
+
+
+def _audited_beam(graph: Graph, q: np.ndarray, own: np.ndarray | None, beam: int, config: Config) -> int:
+    """The beam that meets all links of some of the queries."""
+    rows = np.random.default_rng(config.seed).permutation(len(q))[: config.audits]
+    r, c = np.nonzero(q[rows] @ graph.x.T >= config.least + _SLACK / 2)  # clear of rounding
+    return _wide_enough(graph, q[rows], None if own is None else own[rows], r * len(graph.x) + c, beam, config.recall, config)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,17 +137,39 @@ def _search(graph_rows: pa.Table, queries: pa.Table, size: int, config: Config)
     at = np.minimum(np.searchsorted(nodes[order], qn), len(nodes) - 1)
     same = nodes[order][at] == qn  # queries of the graph's own shard start at themselves
     own = np.where(same, order[at], -1)
-    r, c = _hits(graph, _unit(qx), own, config)
-    r, c = r[nodes[c] != qn[r]], c[nodes[c] != qn[r]]
-    ok = np.concatenate([np.zeros(0, bool), *[cosines(qx[r[i : i + _TILE]], vectors[c[i : i + _TILE]]) >= config.least for i in range(0, len(r), _TILE)]])
-    r, c = r[ok], c[ok]
-    links = np.bincount(r, weights[c], len(qn)).astype(np.int64)
-    every, place = np.unique(np.concatenate([qn[r], nodes[c]]), return_inverse=True)
-    root = _roots(len(every), place[: len(r)], place[len(r) :])
-    count = np.zeros(len(every), np.int64)
-    linked = np.flatnonzero(links)
-    count[np.searchsorted(every, qn[linked])] = links[linked]
-    return pa.table({"node": every.astype(np.int64), "root": every[root].astype(np.int64), "links": count}) if len(every) else empty
+    q, n = _unit(qx), len(nodes)
+    every, place = np.unique(np.concatenate([qn, nodes]), return_inverse=True)
+    of_query, of_point = place[: len(qn)], place[len(qn) :]
+    root, count = np.arange(len(every)), np.zeros(len(every), np.int64)
+
+    def take(r: np.ndarray, c: np.ndarray) -> None:
+        nonlocal root
+        np.add.at(count, of_query[r], weights[c])
+        a, b = root[of_query[r]], root[of_point[c]]
+        root = _roots(len(every), a[a != b], b[a != b])[root]
+
+    query_of, dense, few = np.full(n, -1), np.zeros(len(qn), bool), []
+    query_of[own[same]] = np.flatnonzero(same)
+    for r, c, sims, whole in _linked(graph, q, own, _audited_beam(graph, q, own, graph_rows["beam"][0].as_py(), config), config):
+        ok = sims >= config.least + _SLACK
+        near = np.flatnonzero(~ok)
+        for i in range(0, len(near), _TILE):
+            k = near[i : i + _TILE]
+            ok[k] = cosines(qx[r[k]], vectors[c[k]]) >= config.least
+        ok &= nodes[c] != qn[r]
+        r, c = r[ok], c[ok]
+        if whole:
+            dense[r] = True
+            take(r, c)
+        else:
+            few.append(r * n + c)
+        if same.all():  # a link of the own shard counts at both ends, whichever met it
+            few.append(query_of[c] * n + own[r])
+    r, c = np.divmod(np.unique(np.concatenate(few)) if few else np.zeros(0, np.int64), n)
+    take(r[~dense[r]], c[~dense[r]])
+    some = (count > 0) | (root != np.arange(len(every)))
+    some[root[some]] = True
+    return pa.table({"node": every[some].astype(np.int64), "root": every[root[some]].astype(np.int64), "links": count[some]}) if some.any() else empty
 
 
 def vector_groups(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", config: Config = Config()) -> DataFrame:
@@ -153,12 +197,13 @@ def vector_groups(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
         x = matrix(group["vector"], size)
         order = np.argsort(group["node"].to_numpy())
         x = x[order]
-        blobs = {"graph": Graph.build(_unit(x), config.seed).dump(), "nodes": group["node"].to_numpy()[order].astype(np.int64).tobytes(),
+        graph = Graph.build(_unit(x), config.seed)
+        blobs = {"graph": graph.dump(), "nodes": group["node"].to_numpy()[order].astype(np.int64).tobytes(),
                  "weights": group["weight"].to_numpy()[order].astype(np.int64).tobytes(), "vectors": x.astype(np.float64).tobytes()}
-        return pa.table({"label": group["label"][:1], "shard": group["shard"][:1], **{k: pa.array([v], pa.binary()) for k, v in blobs.items()}})
+        return pa.table({"label": group["label"][:1], "shard": group["shard"][:1], "beam": pa.array([_planted_beam(graph, config)], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in blobs.items()}})
 
     kind = classes.schema["label"].dataType.simpleString()
-    graphs = dealt.select("label", "shard", "node", "vector", "weight").groupBy("label", "shard").applyInArrow(build, f"label {kind}, shard int, graph binary, nodes binary, weights binary, vectors binary")
+    graphs = dealt.select("label", "shard", "node", "vector", "weight").groupBy("label", "shard").applyInArrow(build, f"label {kind}, shard int, beam int, graph binary, nodes binary, weights binary, vectors binary")
     graphs = scratch.write(graphs, "graphs")
     # every shard of a label meets every shard of queries of the label
     asked = dealt.select("label", F.col("shard").alias("part"), "node", "vector", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))

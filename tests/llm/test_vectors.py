@@ -120,12 +120,41 @@ def test_components(spark):
 def test_sparse_links_across_shards_are_met(planted):
     """Few and many planted pairs between two shards of real size, against brute force."""
     rng, c = np.random.default_rng(11), vector_dups.Config()
-    unit = lambda v: (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
-    x, q = unit(rng.normal(size=(c.shard_rows, 64))), unit(rng.normal(size=(c.shard_rows, 64)))
+    x, q = vector_dups._unit(rng.normal(size=(c.shard_rows, 64))), vector_dups._unit(rng.normal(size=(c.shard_rows, 64)))
     at, to = rng.permutation(len(q))[:planted], rng.permutation(len(x))[:planted]
-    q[at] = unit(x[to] + 0.045 * rng.normal(size=(planted, 64)))
-    r, p = vector_dups._hits(hnsw.Graph.build(x, c.seed), q, None, c)
+    q[at] = vector_dups._unit(x[to] + 0.045 * rng.normal(size=(planted, 64)))
+    graph = hnsw.Graph.build(x, c.seed)
+    beam = vector_dups._audited_beam(graph, q, None, vector_dups._planted_beam(graph, c), c)
+    assert beam <= c.shard_rows // 8  # a graph's search, not a comparison with all
+    met = {(int(a), int(b)) for r, p, _, whole in vector_dups._linked(graph, q, None, beam, c) for a, b in zip(r, p) if not whole}
     want = {(int(a), int(b)) for a, b in zip(at, to) if x[b] @ q[a] >= c.least}
     assert len(want) > 0.4 * planted
-    missed = len(want - set(zip(r.tolist(), p.tolist())))
-    assert missed <= (0 if planted < c.audits else 0.01 * planted)
+    assert len(want - met) <= 0.01 * planted
+
+
+def test_beam_widens_until_the_audit_passes():
+    """A poor graph (few links kept) and a narrow first beam: the beam doubles until planted points are met."""
+    rng = np.random.default_rng(4)
+    x = vector_dups._unit(rng.normal(size=(3_000, 48)))
+    graph = hnsw.Graph.build(x, 1)
+    graph.levels = graph.levels[-1:]
+    base = graph.levels[0]
+    base.links = hnsw._connected(x, np.where(np.arange(base.links.shape[1]) < 4, base.links, -1)[:, :8], np.arange(1))
+    c = vector_dups.Config(beam=2)
+    beam = vector_dups._planted_beam(graph, c)
+    assert beam > 2
+    q = vector_dups._unit(x + 0.03 * rng.normal(size=x.shape))
+    met = {(int(a), int(b)) for r, p, _, _ in vector_dups._linked(graph, q, None, beam, c) for a, b in zip(r, p)}
+    assert sum((i, i) in met for i in range(len(x))) >= 0.99 * len(x)
+
+
+def test_dense_shard_is_counted_whole(spark):
+    """Most of a label are near copies of each other: every link counts, no pairs are gathered."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=16) + 0.02 * rng.normal(size=(700, 16)), rng.normal(size=(500, 16))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], _KIND)
+    for rows in (300, 10_000):
+        got = vector_dups.vector_groups(table, config=vector_dups.Config(shard_rows=rows)).toPandas().sort_values("vec_id")
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        assert got.n_links.tolist() == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
+        assert (got.component_id[:700] == 0).all()
