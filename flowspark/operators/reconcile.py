@@ -53,23 +53,34 @@ def first_labels(labelled: DataFrame, row_id: str = "sample_id", flow_id: str =
     return labelled.groupBy(F.trim(F.col(quoted(flow_id))).alias("flow_id")).agg(F.min_by(lab, F.col(quoted(row_id))).alias("label"))
 
 
+def _parts_key(flow_id: Column) -> Column:
+    """The same for all spellings of a flow id: they differ in the order of their parts only."""
+    return F.xxhash64(F.array_join(F.array_sort(F.split(flow_id, "-")), "-"))
+
+
 def match_flows(generated: DataFrame, labelled: DataFrame, row_id: str = "sample_id") -> DataFrame:
     """Distinct generated 5-tuples with row count, matched flow id and label.
 
     Rows are folded to distinct 5-tuples first, so a flow id that dominates
-    the table is one row in the join.
+    the table is one row in the join. All spellings of a 5-tuple share a key,
+    so it moves once, not once per spelling; the spelling is compared where
+    both sides meet, and the first one found is picked there too.
     """
     if "Flow ID" not in labelled.columns:
         raise ColumnsMissing("the labelled table has no Flow ID")
     if not set(FIVE_TUPLE) <= set(generated.columns):
         raise ColumnsMissing("the generated table lacks the 5-tuple")
     tuples = generated.groupBy(*FIVE_TUPLE).agg(F.count(F.lit(1)).alias("n_rows"))
-    tries = tuples.select(*FIVE_TUPLE, "n_rows", F.posexplode(flow_id_variants(*FIVE_TUPLE)).alias("pos", "flow_id"))
-    found = F.when(F.col("hit"), F.col("pos"))
-    known = first_labels(labelled, row_id).select("flow_id", "label", F.lit(True).alias("hit"))
-    hits = tries.join(known, "flow_id", "left")
-    return hits.groupBy(*FIVE_TUPLE).agg(
-        F.first("n_rows").alias("n_rows"), F.min_by("flow_id", found).alias("flow_id"), F.min_by("label", found).alias("label"))
+    first = F.get("spellings", F.lit(0))  # null when a part is missing: such rows match none and need not meet
+    tuples = tuples.withColumn("spellings", flow_id_variants(*FIVE_TUPLE))
+    tuples = tuples.select(*FIVE_TUPLE, "n_rows", F.when(first.isNotNull(), _parts_key(first)).otherwise(F.xxhash64(*FIVE_TUPLE)).alias("key"))
+    known = first_labels(labelled, row_id).where("flow_id is not null").select(_parts_key(F.col("flow_id")).alias("known_key"), "flow_id", "label")
+    place = F.array_position(flow_id_variants(*FIVE_TUPLE), F.col("flow_id"))
+    hits = tuples.join(known, (F.col("key") == F.col("known_key")) & (place > 0), "left")
+    found = F.when(F.col("flow_id").isNotNull(), place)
+    # grouped by the join's key as well, so rows stay where they are
+    return hits.groupBy("key", *FIVE_TUPLE).agg(
+        F.first("n_rows").alias("n_rows"), F.min_by("flow_id", found).alias("flow_id"), F.min_by("label", found).alias("label")).drop("key")
 
 
 def match_summary(matches: DataFrame) -> DataFrame:
