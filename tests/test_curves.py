@@ -130,3 +130,20 @@ def test_one_scan_sample_and_sketch(spark):
         else:
             rank = values.index(r["value"])
             assert abs(rank - r["prob"] * 5000) <= 51
+
+
+def test_bounds_do_not_copy_rows_per_grid_point(spark, monkeypatch):
+    """Only points that may win are ranked on copies of the rows; gaps count nowhere."""
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 400)
+    rows = [(float(a), float(b), int(k)) for a, b, k in zip(y + 0.4 * rng.normal(size=400), rng.normal(size=400), y)]
+    df = spark.createDataFrame([*rows, *[(None, 5.0, 0)] * 50, *[(None, -5.0, 1)] * 50], "a double, b double, y int")
+    sizes, expand = [], fusion._expanded
+    monkeypatch.setattr(fusion, "_expanded", lambda rows, scaled, grid: sizes.append(len(grid)) or expand(rows, scaled, grid))
+    grid = fusion.grid_two()
+    got = fusion.search_weights(df, ["a", "b"], "y", grid).first()
+    assert len(sizes) == 1 and sizes[0] < len(grid)
+    a, b = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    a, b = (a - a.min()) / (a.max() - a.min()), (b + 5) / 10 if abs(b).max() < 5 else b
+    areas = [(s[y == 1][:, None] > s[y == 0]).mean() for s in (w[0] * a + w[1] * b for w in grid)]
+    assert got.auc == pytest.approx(max(areas)) and (got.w1, got.w2) == pytest.approx(grid[int(np.argmax(areas))])
