@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window as W, functions as F
 
@@ -69,3 +72,21 @@ def test_cut_between_equal_hashes(spark, monkeypatch):
     df = spark.range(20).withColumnRenamed("id", "sample_id")
     got = sorted(r[0] for r in qu.sample_exact(df, 13).collect())
     assert got == sorted([*range(0, 20, 2), 1, 3, 5])
+
+
+def test_a_value_is_compared_with_few_ranges(spark, monkeypatch):
+    rng, fans, local = np.random.default_rng(3), [], qu.local_table
+    x = np.stack([rng.normal(size=5000), rng.normal(size=5000) * 1e-3, rng.integers(0, 40, 5000)], 1)
+    x[7, 1] = 1e9  # all others fall into one part of the first ranges
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]))
+
+    def noted(session, rows, schema):
+        fans.append(max(Counter(r[0] for r in rows).values()))
+        return local(session, rows, schema)
+
+    monkeypatch.setattr(qu, "local_table", noted)
+    probs = [i / 256 for i in range(1, 256)]
+    got = qu.exact_quantiles(df, ["a", "b", "c"], probs)
+    for i, c in enumerate("abc"):
+        np.testing.assert_allclose([got[c, p] for p in probs], np.quantile(x[:, i], probs), rtol=1e-12)
+    assert 1 < max(fans) <= 16
