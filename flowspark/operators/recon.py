@@ -8,11 +8,11 @@ batches, for any number of partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,10 +43,31 @@ def deal_batches(train: DataFrame, features: Sequence[str], cfg: UnsupervisedCon
     return rows, steps
 
 
+def pack_batches(rows: DataFrame) -> DataFrame:
+    """(step, batch, n, data): each dealt batch as one row, its rows in the
+    order of their keys, so that a step reads it as it is."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = table["__x"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        x = _ordered(x, table["key"].to_numpy())
+        return pa.table({"step": table["step"][:1], "batch": table["batch"][:1], "n": pa.array([len(x)]), "data": pa.array([x.tobytes()], pa.binary())})
+
+    path, kinds = new_path(rows.sparkSession, "packed"), "n long, data binary, step int, batch int"
+    rows.groupBy("step", "batch").applyInArrow(pack, "step int, batch int, n long, data binary").select("n", "data", "step", "batch").write.partitionBy("step").parquet(path)
+    return rows.sparkSession.read.schema(kinds).parquet(path)
+
+
+def _ordered(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return x[np.lexsort((*x.T, key))]
+
+
 def batch_gradient(net: Net, flat: np.ndarray, x: np.ndarray, key: np.ndarray, batch: int, epoch: int, cfg: UnsupervisedConfig, beta: float) -> tuple[float, np.ndarray]:
     """Loss of one batch, and its gradient with the running statistics after it
     behind. Rows are taken in the order of their keys."""
-    x = x[np.lexsort((*x.T, key))]
+    return _gradient(net, flat, _ordered(x, key), batch, epoch, cfg, beta)
+
+
+def _gradient(net: Net, flat: np.ndarray, x: np.ndarray, batch: int, epoch: int, cfg: UnsupervisedConfig, beta: float) -> tuple[float, np.ndarray]:
     flat = flat.copy()
     loss, grad = net.loss_and_gradient(flat, x, beta, np.random.default_rng([cfg.seed, epoch, batch]))
     grad[net.trained:] = flat[net.trained:]
@@ -55,28 +76,32 @@ def batch_gradient(net: Net, flat: np.ndarray, x: np.ndarray, key: np.ndarray, b
 
 def _epoch(rows: DataFrame, net: Net, state: np.ndarray, steps: int, epoch: int, rate: float, cfg: UnsupervisedConfig, beta: float, in_epoch: int):
     """One pass over all rows, a job per step: every batch of the step gives a
-    gradient at the same weights, their mean moves the weights once. Returns
-    state, steps so far and loss."""
-    t = net.trained
+    gradient at the same weights, their mean moves the weights once. Dealt rows
+    are packed first where they are not yet. Returns state, steps so far and loss."""
+    t, packed = net.trained, rows if "data" in rows.columns else pack_batches(rows)
     flat, first, second = state[:net.size].copy(), state[net.size:net.size + t].copy(), state[net.size + t:].copy()
     seen, loss_sum, width = 0.0, 0.0, net.encoder[0][0] if net.encoder else net.heads[0][0]
     for step in np.random.default_rng([cfg.seed, epoch]).permutation(in_epoch).tolist():
         shared = rows.sparkSession.sparkContext.broadcast(flat)
 
-        def gradient(table: pa.Table) -> pa.Table:
-            x = table["__x"].combine_chunks().flatten().to_numpy().reshape(-1, width)
-            loss, grad = batch_gradient(net, shared.value, x, table["key"].to_numpy(), table["batch"][0].as_py(), epoch, cfg, beta)
-            return pa.table({"rows": [float(len(x))], "loss": [loss * len(x)], "grad": pa.array([grad], pa.list_(pa.float64()))})
-
-        found = rows.where(F.col("step") == step).groupBy("batch").applyInArrow(gradient, "rows double, loss double, grad array<double>")
-        mean = Summarizer.mean(F.col("grad"), F.col("rows")).alias("grad")
-        row = found.withColumn("grad", array_to_vector("grad")).agg(mean, F.sum("rows").alias("rows"), F.sum("loss").alias("loss")).first()
+        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                for n, batch, data in zip(*(part.column(c) for c in ("n", "batch", "data")), strict=True):
+                    x = np.frombuffer(data.as_buffer()).reshape(-1, width)
+                    loss, grad = _gradient(net, shared.value, x, batch.as_py(), epoch, cfg, beta)
+                    yield pa.RecordBatch.from_arrays([pa.array([float(n.as_py())]), pa.array([loss * len(x)]), pa.array([grad], pa.list_(pa.float64()))], names=["rows", "loss", "grad"])
+
+        found = packed.where(F.col("step") == step).select("n", "batch", "data").mapInArrow(gradient, "rows double, loss double, grad array<double>")
+        if cfg.sync_batches > 1:
+            mean = vector_to_array(Summarizer.mean(F.col("grad"), F.col("rows"))).alias("grad")
+            found = found.withColumn("grad", array_to_vector("grad")).agg(F.sum("rows").alias("rows"), F.sum("loss").alias("loss"), mean)
+        row = next(iter(found.toArrow().to_pylist()), None)  # of one batch, or the mean of all
         shared.unpersist()
-        if row.rows:
-            grad, steps = row.grad.toArray(), steps + 1
+        if row and row["rows"]:
+            grad, steps = np.array(row["grad"]), steps + 1
             net.adam(flat, grad, first, second, steps, rate, cfg.weight_decay)
             flat[t:] = grad[t:]
-            seen, loss_sum = seen + row.rows, loss_sum + row.loss
+            seen, loss_sum = seen + row["rows"], loss_sum + row["loss"]
     return np.concatenate([flat, first, second]), steps, loss_sum / max(seen, 1.0)
 
 
@@ -94,6 +119,7 @@ def fit_reconstruction(
     ship_package(train.sparkSession)
     net = Net(len(features), cfg.bottleneck, cfg.hidden_layers, cfg.dropout, variational)
     rows, in_epoch = deal_batches(train, features, cfg)
+    rows = pack_batches(rows)
     val = staged(val.select(quoted(label), *[quoted(c) for c in features]), "val")
     state = np.concatenate([net.start(cfg.seed), np.zeros(2 * net.trained)])
     rate, steps, best, best_auc, wait = cfg.learning_rate, 0, state, -1.0, 0

@@ -210,3 +210,14 @@ def test_contributions_of_one_tree_by_enumeration():
             want = sum(math.factorial(len(s)) * math.factorial(1 - len(s)) / 2 * (value(row, (*s, f)) - value(row, s))
                        for k in range(2) for s in itertools.combinations(rest, k))
             assert phi[r, f] == pytest.approx(want)
+
+
+def test_batches_are_packed_in_order(blobs):
+    cfg = UnsupervisedConfig(columns=COLS, batch_rows=90, sync_batches=3)
+    rows, steps = recon.deal_batches(blobs, NAMES, cfg)
+    pdf, packed = rows.toPandas(), recon.pack_batches(rows).toPandas()
+    assert len(packed) == pdf.batch.nunique() and packed.n.sum() == len(pdf) and packed.step.nunique() == steps
+    for r in packed.itertuples():
+        mine = pdf[pdf.batch == r.batch]
+        x = np.frombuffer(r.data).reshape(-1, 6)
+        assert set(mine.step) == {r.step} and (x == recon._ordered(np.stack(mine["__x"]), mine.key.to_numpy())).all()
