@@ -22,6 +22,7 @@ from flowspark.staging import ship_package, staged
 NODES_PER_BLOCK = 100_000  # tree nodes that one task explains at a time, one tree at least
 _CELLS = 1 << 21  # rows x leaves x features held at a time
 _ROWS = 256
+_LOOKUPS = 1 << 16  # rows x leaves looked up at a time
 
 
 def _paths(tree: dict[str, np.ndarray]) -> list[tuple[float, dict]]:
@@ -52,19 +53,16 @@ def _weights(k: int) -> np.ndarray:
     return out
 
 
-def _same_length(leaves: list[tuple[float, dict]], x: np.ndarray, out: np.ndarray) -> None:
-    """Add the contributions of leaves that all have k features.
+def _gains(inside: np.ndarray, share: np.ndarray, value: np.ndarray) -> Iterator[np.ndarray]:
+    """[row, leaf] for each of the k features that all leaves have: what knowing
+    it adds to the leaf's value. ``inside`` is [row, leaf, feature].
 
     A leaf is a product over its features: inside the bounds or the share of
     training weight. The product is extended feature by feature as a polynomial
     in the coalition's size; each feature's own factor is then unwound from it.
     """
-    k = len(leaves[0][1])
-    feature = np.array([list(p) for _, p in leaves])
-    low, high, share = np.array([list(p.values()) for _, p in leaves]).transpose(2, 0, 1)
-    value, weights = np.array([v for v, _ in leaves]), _weights(k)
-    values = x[:, feature]  # row, leaf, feature
-    inside = (values > low) & (values <= high)
+    k = share.shape[1]
+    weights = _weights(k)
     poly = np.zeros((*inside.shape[:2], k + 1))
     poly[..., 0] = 1.0
     for m in range(k):
@@ -79,10 +77,58 @@ def _same_length(leaves: list[tuple[float, dict]], x: np.ndarray, out: np.ndarra
             rest = poly[..., i] - s * rest
             total = total + rest * weights[i - 1]
         outside = poly[..., :k] @ weights / np.where(s > 0, s, 1)
-        found = value * np.where(met, (1 - s) * total, -s * outside)
-        spread = np.zeros((len(leaves), out.shape[1]))
-        spread[np.arange(len(leaves)), feature[:, j]] = 1.0
-        out += found @ spread
+        yield value * np.where(met, (1 - s) * total, -s * outside)
+
+
+def _columns(leaves: list[tuple[float, dict]]) -> tuple[np.ndarray, ...]:
+    """Values of leaves of k features, and [leaf, feature]: numbers, bounds and shares."""
+    feature = np.array([list(p) for _, p in leaves])
+    low, high, share = np.array([list(p.values()) for _, p in leaves]).transpose(2, 0, 1)
+    return np.array([v for v, _ in leaves]), feature, low, high, share
+
+
+def _spread(feature: np.ndarray, width: int) -> np.ndarray:
+    spread = np.zeros((len(feature), width))
+    spread[np.arange(len(feature)), feature] = 1.0
+    return spread
+
+
+def _row_by_row(leaves: list[tuple[float, dict]], x: np.ndarray, out: np.ndarray) -> None:
+    """Add the contributions of leaves that all have k features."""
+    value, feature, low, high, share = _columns(leaves)
+    values = x[:, feature]  # row, leaf, feature
+    for f, found in zip(feature.T, _gains((values > low) & (values <= high), share, value)):
+        out += found @ _spread(f, out.shape[1])
+
+
+def _by_pattern(leaves: list[tuple[float, dict]], x: np.ndarray, out: np.ndarray) -> None:
+    """Add the contributions of leaves that all have k features. They hang only
+    on which of the k features a row is inside of, so they are worked out for
+    the 2^k patterns and looked up for the rows."""
+    value, feature, low, high, share = _columns(leaves)
+    k, width = feature.shape[1], out.shape[1]
+    patterns = (np.arange(1 << k)[:, None, None] >> np.arange(k) & 1).astype(bool)
+    tables = [(np.ascontiguousarray(found.T).ravel(), _spread(f, width))
+              for f, found in zip(feature.T, _gains(np.broadcast_to(patterns, (1 << k, *feature.shape)), share, value))]
+    steps, edges = [], []
+    for f in np.unique(feature):
+        # a value is inside the same leaves as the bound that ends its stretch; a missing one is inside none
+        leaf, place = np.nonzero(feature == f)
+        edge = np.unique(np.concatenate([low[leaf, place], high[leaf, place], [-np.inf, np.inf]]))
+        ends = np.append(edge, np.nan)[:, None]
+        step = np.zeros((len(ends), len(leaves)), np.int64)
+        step[:, leaf] = ((ends > low[leaf, place]) & (ends <= high[leaf, place])) << place
+        steps.append(step)
+        edges.append((f, edge))
+    start = np.arange(len(leaves)) << k
+    rows = max(1, _LOOKUPS // len(leaves))
+    for r in range(0, len(x), rows):
+        part = x[r : r + rows]
+        at = np.repeat(start[None], len(part), 0)
+        for step, (f, edge) in zip(steps, edges):
+            at += step.take(np.searchsorted(edge, part[:, f], "left"), 0)
+        for table, spread in tables:
+            out[r : r + rows] += table.take(at) @ spread
 
 
 def tree_contributions(leaves: list[tuple[float, dict]], x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -94,10 +140,15 @@ def tree_contributions(leaves: list[tuple[float, dict]], x: np.ndarray) -> tuple
         if p and v != 0.0:
             by.setdefault(len(p), []).append((v, p))
     for k, mine in by.items():
+        if 1 << k <= len(x):
+            step = max(1, _CELLS // (k + 1 << k))
+            for i in range(0, len(mine), step):
+                _by_pattern(mine[i : i + step], x, out)
+            continue
         for r in range(0, len(x), _ROWS):
             step = max(1, _CELLS // (_ROWS * (k + 1)))
             for i in range(0, len(mine), step):
-                _same_length(mine[i : i + step], x[r : r + _ROWS], out[r : r + _ROWS])
+                _row_by_row(mine[i : i + step], x[r : r + _ROWS], out[r : r + _ROWS])
     return out, base
 
 
@@ -137,8 +188,8 @@ def contributions(model: TreeModel, df: DataFrame, features: Sequence[str], samp
                      F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("trees"), key.alias("id"), features_of(df, features).alias("x"))
     heads = staged(blocks, "blocks").select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), "trees",
                                             F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("x"))
-    # a block's trees come first, then the rows of a share that pass them by
-    stream = heads.unionByName(rows).repartition("block", "share").sortWithinPartitions("block", "share", "kind").select("trees", "id", "x")
+    # a task has one block and one share: its trees come first, then the rows that pass them by
+    stream = heads.unionByName(rows).repartitionById(count * shares, F.col("block") * shares + F.col("share")).sortWithinPartitions("kind").select("trees", "id", "x")
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = []
@@ -158,10 +209,11 @@ def contributions(model: TreeModel, df: DataFrame, features: Sequence[str], samp
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(total / trees), pa.list_(pa.float64())), pa.array(np.full(len(x), base / trees))], names=["id", "phi", "base"])
 
     out = stream.mapInArrow(explain, "id long, phi array<double>, base double")
+    # a row moves once with all its sums
+    sums = out.groupBy("id").agg(F.array(*[F.sum(F.get("phi", F.lit(i))) for i in range(width)]).alias("phi"), F.sum("base").alias("base"))
     names = F.array(*[F.lit(c) for c in features])
-    long = out.select("id", "base", F.posexplode("phi").alias("pos", "contribution")).select(
+    return sums.select("id", "base", F.posexplode("phi").alias("pos", "contribution")).select(
         "id", F.get(names, F.col("pos")).alias("feature"), "contribution", "base")
-    return long.groupBy("id", "feature").agg(F.sum("contribution").alias("contribution"), F.sum("base").alias("base"))
 
 
 def mean_contributions(contrib: DataFrame, top: int | None = 30) -> DataFrame:

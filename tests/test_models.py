@@ -212,6 +212,24 @@ def test_contributions_of_one_tree_by_enumeration():
             assert phi[r, f] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_contributions_by_pattern(k, monkeypatch):
+    rng, leaves = np.random.default_rng(k), []
+    for v in rng.random(40):
+        bounds = [(-np.inf if rng.random() < 0.3 else low, np.inf if rng.random() < 0.3 else low + 0.5) for low in rng.integers(0, 8, k) / 8]
+        leaves.append((v, {int(f): (*b, rng.random()) for f, b in zip(rng.permutation(6)[:k], bounds)}))
+    x = rng.integers(0, 9, (500, 6)) / 8  # often a bound itself
+    x[::50, 2], x[1::50, 3], x[2::50, 4] = np.nan, np.inf, -np.inf
+    want, got, seen, gains = np.zeros_like(x), np.zeros_like(x), [], explain._gains
+    explain._row_by_row(leaves, x, want)
+    monkeypatch.setattr(explain, "_gains", lambda inside, *a: seen.append(len(inside)) or gains(inside, *a))
+    explain._by_pattern(leaves, x, got)
+    np.testing.assert_allclose(got, want, atol=1e-12)
+    got, base = explain.tree_contributions(leaves, x)
+    np.testing.assert_allclose(got, want, atol=1e-12)
+    assert seen == [2**k] * 2  # what is worked out hangs on the patterns, not on the rows
+
+
 def test_batches_are_packed_in_order(blobs):
     cfg = UnsupervisedConfig(columns=COLS, batch_rows=90, sync_batches=3)
     rows, steps = recon.deal_batches(blobs, NAMES, cfg)
