@@ -252,3 +252,24 @@ def test_what_was_shuffled_goes_with_the_write(spark, monkeypatch):
     before = spark.conf.get(common._CLEANUP, None)
     common.Scratch(spark, "test").write(spark.range(3), "t")
     assert seen == ["true"] and spark.conf.get(common._CLEANUP, None) == before
+
+
+@pytest.mark.parametrize("others", [20, 40])
+def test_edited_passages_away_from_centres(spark, others):
+    """Lines of 20 words parted by edits: each line also stands in other texts, and the first text of its seeds is one of these."""
+    rng, rows, more = np.random.default_rng(23), [], []
+    for i in range(20):
+        lines = [_words(rng, 20) for _ in range(4)]
+        for _ in range(2):
+            own, at = _words(rng, 150), int(rng.integers(0, 150))
+            own[at:at] = sum([[*line, *_words(rng, 2)] for line in lines], [])
+            rows.append((len(rows), " ".join(own)))
+        for line in lines:
+            for _ in range(others):
+                own, at = _words(rng, 120), int(rng.integers(0, 120))
+                own[at:at] = line
+                more.append((10_000 + len(more), " ".join(own)))
+    out = passages.shared_passages(spark.createDataFrame(rows + more, "doc_id long, text string")).toPandas()
+    met = {frozenset(p) for p in zip(out.doc_id, out.other_id, strict=True)}
+    assert met <= {frozenset((2 * i, 2 * i + 1)) for i in range(20)} and len(met) >= 19  # all pairs of seeds at once give as many
+    assert (out.similarity >= 0.8).all()
