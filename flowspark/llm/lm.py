@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ MOD, HELD_OUT = 7, 2
 END = b""  # words are never empty, so this stands for the end of a text
 _WORDS = 1 << 16  # distinct words worked out at a time
 _FLUSH = 1 << 18  # distinct words a task gathers before it sends their counts on
-_KEPT = 400_000  # scores of rare words a worker remembers
+_KEPT = 400_000  # rare words whose scores a worker remembers from one part of a batch to the next
 
 
 @dataclass(frozen=True)
@@ -186,54 +187,59 @@ def fit(counts: DataFrame, config: Config = Config()) -> Lattice:
     return lattice
 
 
-_memory: dict[str, dict[bytes, float]] = {}
+class _Ids(dict):
+    """Numbers of words, given out as words are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+_memory: dict[str, tuple[_Ids, np.ndarray, np.ndarray]] = {}
 
 
 def _text_rows(docs: DataFrame, lattice: Lattice, common: dict[bytes, int], run_id: str) -> DataFrame:
     """Per row its id, fold, tokens, score, and of its words: the base sum and
     number of known tokens over frequent words, and the rest as (key, n)."""
-    spelled = [w for w in common if w]
-    scores = dict(zip(spelled, lattice.log_probabilities(spelled).tolist(), strict=True)) | {END: lattice.end}
-    logs = {w: (float(np.log10(c + 1)), scores[w]) for w, c in common.items()}
-    end = lattice.end
+    frequent = [w for w in common if w]
+    scores = lattice.log_probabilities(frequent)
+    logs = np.log10(np.array([common[w] for w in frequent], float) + 1)
+    end, end_log, end_known = lattice.end, float(np.log10(common.get(END, 0) + 1)), int(END in common)
+    most = len(frequent)
+
+    def fresh() -> tuple[_Ids, np.ndarray, np.ndarray]:
+        """Numbers of the frequent words, the scores of all numbered words and the keys of those that are not frequent."""
+        return _Ids(zip(frequent, range(most), strict=True)), scores, np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if run_id not in _memory:
             _memory.clear()
-        known = _memory.setdefault(run_id, {})
+        ids, score_of, key_of = _memory.get(run_id) or fresh()
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                counts = [Counter(words_of(t)) for t in part.column(1).to_pylist()]
-                rare_words = set().union(*counts) - logs.keys()
-                new = list(rare_words - known.keys())
-                if len(known) + len(new) > _KEPT:
-                    known.clear()
-                    new = list(rare_words)
-                for k in range(0, len(new), _WORDS):
-                    known.update(zip(new[k : k + _WORDS], lattice.log_probabilities(new[k : k + _WORDS]).tolist(), strict=True))
-                tokens, score, base, hits, keys, numbers, sizes = [], [], [], [], [], [], [0]
-                for words in counts:
-                    words_score, s, h = end, logs.get(END, (0.0, 0.0))[0], int(END in logs)
-                    for w, n in words.items():
-                        x = logs.get(w)
-                        if x is None:
-                            words_score += n * known[w]
-                            keys.append(xxhash.xxh64_intdigest(w, 42))
-                            numbers.append(n)
-                        else:
-                            words_score += n * x[1]
-                            s += n * x[0]
-                            h += n
-                    tokens.append(sum(words.values()) + 1)
-                    score.append(words_score / np.log(10))
-                    base.append(s)
-                    hits.append(h)
-                    sizes.append(len(keys))
-                offsets = pa.array(np.array(sizes, np.int32))
-                rare = pa.ListArray.from_arrays(offsets, pa.array(np.array(keys, np.uint64).view(np.int64)))
-                times = pa.ListArray.from_arrays(offsets, pa.array(np.array(numbers, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, (np.array(tokens), np.array(score), np.array(base, float), np.array(hits))), rare, times],
+                if len(ids) - most > _KEPT:
+                    ids, score_of, key_of = fresh()
+                met = []
+                for text in part.column(1).to_pylist():
+                    words = words_of(text)
+                    met.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+                new = list(islice(ids, len(score_of), None))
+                if new:
+                    score_of = np.concatenate([score_of, *[lattice.log_probabilities(new[k : k + _WORDS]) for k in range(0, len(new), _WORDS)]])
+                    key_of = np.concatenate([key_of, np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64)])
+                _memory[run_id] = ids, score_of, key_of
+                n, sizes = len(met), np.array([len(x) for x in met])
+                word, row = np.concatenate(met), np.repeat(np.arange(n), sizes)
+                score = (end + np.bincount(row, score_of[word], n)) / np.log(10)
+                often = word < most
+                hits = end_known + np.bincount(row[often], minlength=n)
+                base = end_log + np.bincount(row[often], logs[word[often]], n)
+                rare, times = np.unique(row[~often] * len(ids) + word[~often], return_counts=True)
+                offsets = pa.array(np.searchsorted(rare, np.arange(n + 1) * len(ids)).astype(np.int32))
+                keys = pa.ListArray.from_arrays(offsets, pa.array(key_of[rare % max(len(ids), 1) - most]))
+                times = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, (sizes + 1, score, base, hits)), keys, times],
                                                  names=["doc_id", "held_out", "n_tokens", "score", "base", "known", "rare", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

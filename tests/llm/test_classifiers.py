@@ -273,3 +273,19 @@ def test_edited_passages_away_from_centres(spark, others):
     met = {frozenset(p) for p in zip(out.doc_id, out.other_id, strict=True)}
     assert met <= {frozenset((2 * i, 2 * i + 1)) for i in range(20)} and len(met) >= 19  # all pairs of seeds at once give as many
     assert (out.similarity >= 0.8).all()
+
+
+def test_scores_by_words(spark, documents, monkeypatch):
+    """Scores are the sum over a text's words, whatever a worker has forgotten between parts."""
+    rows = [(i, " ".join([f"rare{i}", "the", "the", f"Rare{i % 7}"] * (i % 3))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", passages.F.lit(False))
+    lattice = lm.start_lattice(pieces.load_vocabulary())
+    monkeypatch.setattr(lm, "_KEPT", 5)
+    got = {r["doc_id"]: r for r in lm._text_rows(docs, lattice, {b"the": 9, lm.END: 4}, "words").collect()}
+    for i, text in rows:
+        words, r = text.lower().encode().split(), got[i]
+        assert math.isclose(r["score"], (lattice.end + lattice.log_probabilities(words).sum()) / math.log(10), rel_tol=1e-9)
+        assert (r["n_tokens"], r["known"]) == (len(words) + 1, 1 + words.count(b"the"))
+        assert math.isclose(r["base"], math.log10(5) + words.count(b"the"), rel_tol=1e-9)
+        rare = Counter(w for w in words if w != b"the")
+        assert dict(zip(r["rare"], r["times"], strict=True)) == {int(np.array(lm.xxhash.xxh64_intdigest(w, 42), np.uint64).view(np.int64)): n for w, n in rare.items()}
