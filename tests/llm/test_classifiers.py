@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowspark.llm import common, lm, passages, pieces, quality, toxicity
@@ -254,6 +255,36 @@ def test_what_was_shuffled_goes_with_the_write(spark, monkeypatch):
     assert seen == ["true"] and spark.conf.get(common._CLEANUP, None) == before
 
 
+def test_seed_pairs_in_bounded_batches():
+    rng, c = np.random.default_rng(8), passages.Config()
+    texts = rng.permutation(300)
+    rows = [[{"place": int(p), "key": int(rng.integers(40)) << 40, "frequent": bool(rng.random() < 0.5), "alone": bool(rng.random() < 0.3)} for p in rng.permutation(3000)[:400]] for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(rows, pa.list_(pa.struct([("place", pa.int32()), ("key", pa.int64()), ("frequent", pa.bool_()), ("alone", pa.bool_())])))], names=["text", "seeds"])
+    out = list(passages.near_pairs(batch, c))
+    assert len(out) > 1 and max(b.num_rows for b in out) <= passages._SEEDS * c.near
+    got = pa.Table.from_batches(out).to_pylist()
+    assert [r["text"] for r in got] == sorted(r["text"] for r in got)
+    for text, seeds in list(zip(texts, rows, strict=True))[:3]:
+        seeds, want = sorted(seeds, key=lambda s: s["place"]), {}
+        for i, x in enumerate(seeds):
+            for y in seeds[i + 1 :]:
+                if y["place"] - x["place"] < c.near and (x["frequent"] or y["frequent"]):
+                    want.setdefault((x["key"], y["key"]), []).append(((x["place"], y["place"]), x["alone"] or y["alone"]))
+        want = sorted((p, any(a for _, a in v)) for v in want.values() for p in {min(v)[0], max(v)[0]})
+        assert sorted((tuple(r["places"]), r["alone"]) for r in got if r["text"] == text) == want
+
+
+def test_seeds_of_several_texts():
+    rng = np.random.default_rng(9)
+    for most, c in ((60, passages.Config()), (9, passages.Config(k=2, window=5)), (3, passages.Config())):
+        sizes = rng.integers(0, most, 40)
+        h = rng.integers(0, 50, sizes.sum()).astype(np.uint64)
+        each = [passages.seeds(h[e - n : e], c) for n, e in zip(sizes, np.cumsum(sizes), strict=True)]
+        at, key, count = passages.all_seeds(h, sizes, c)
+        assert count.tolist() == [len(x) for x, _ in each] and key.tolist() == [k for _, ks in each for k in ks.tolist()]
+        assert at.tolist() == [int(x + e - n) for (xs, _), n, e in zip(each, sizes, np.cumsum(sizes), strict=True) for x in xs]
+
+
 @pytest.mark.parametrize("others", [20, 40])
 def test_edited_passages_away_from_centres(spark, others):
     """Lines of 20 words parted by edits: each line also stands in other texts, and the first text of its seeds is one of these."""
