@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import itertools
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from flowspark.catalog import QUERIES
 from flowspark.config import FlowColumns, SupervisedConfig, UnsupervisedConfig
 from flowspark.functions.recon_net import Net, layer_widths
 from flowspark.operators import clean, curves, explain, forest, iforest, recon, selection
@@ -106,6 +108,18 @@ def test_rate_halves_and_training_stops(spark, blobs, monkeypatch):
     assert len(rates) == 10 and rates[:6] == [1e-3] * 6 and rates[6:] == [5e-4] * 4
 
 
+@pytest.mark.parametrize("name", ["recon_ae", "recon_vae"])
+def test_registered_training_runs_until_it_settles(spark, monkeypatch, tmp_path, name):
+    """With a validation score that stands still, training ends by its patience and by nothing before."""
+    rng, epochs = np.random.default_rng(5), []
+    rows = [(i, i % 4, rng.normal(size=64).astype(np.float32).tolist()) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(recon, "_epoch", lambda rows, net, state, steps, epoch, *a: (epochs.append(epoch), (state, 1.0, 0.0))[1])
+    monkeypatch.setattr(recon, "roc_auc", lambda *a: SimpleNamespace(first=lambda: SimpleNamespace(auc=0.5)))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 120
+    assert epochs == list(range(1, UnsupervisedConfig().patience + 2))
+
+
 @pytest.mark.parametrize("variational,together", [(False, 1), (True, 3)])
 def test_training_equals_one_machine(spark, blobs, variational, together):
     cfg = UnsupervisedConfig(columns=COLS, bottleneck=2, epochs=3, batch_rows=90, sync_batches=together)
