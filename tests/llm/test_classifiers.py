@@ -306,6 +306,55 @@ def test_edited_passages_away_from_centres(spark, others):
     assert (out.similarity >= 0.8).all()
 
 
+def crowded_pairs(pairs, others):
+    """Texts (2 * i and 2 * i + 1 share two lines of 27 words); other texts hold the two lines too, too far from each other to be 0.8 similar."""
+    rng, rows, more = np.random.default_rng(29), [], []
+
+    def text(lines, apart):
+        own, at = _words(rng, 120), int(rng.integers(0, 120))
+        own[at:at] = [*lines[0], *_words(rng, apart), *lines[1]]
+        return " ".join(own)
+
+    for _ in range(pairs):
+        lines = [_words(rng, 27) for _ in range(2)]
+        rows += [(len(rows) + j, text(lines, 1)) for j in range(2)]
+        more += [(10_000 + len(more) + j, text(lines, 20)) for j in range(others)]
+    return rows + more
+
+
+@pytest.mark.parametrize("config", [passages.Config(), passages.Config(hubs=2)])
+def test_passages_of_crowded_pairs_of_seeds(spark, monkeypatch, config):
+    """Every pair of seeds of the passages stands in more texts than are linked at once."""
+    monkeypatch.setattr(passages, "_MEET", 5)
+    rows = crowded_pairs(10, 20)
+    out = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string"), config=config).toPandas()
+    assert {frozenset(p) for p in zip(out.doc_id, out.other_id, strict=True)} == {frozenset((2 * i, 2 * i + 1)) for i in range(10)}
+    assert (out.similarity >= 0.8).all()
+
+
+def test_places_that_can_meet():
+    """As by trying every stretch of 50 words or more around the pair."""
+    rng, c = np.random.default_rng(31), passages.Config()
+    n, rows = c.around, 60
+    left, right = (rng.integers(0, 2, (rows, n)).astype(np.int32) for _ in range(2))
+    span = rng.integers(6, 40, rows)
+    for side in (left, right):
+        for i, row in enumerate(side):
+            row[: rng.integers(0, 30)] = 7  # in common
+            row[rng.integers(40, n) :] = -1  # the text ends
+    found = 0
+    for i in range(rows):
+        got = passages.can_meet(left, right, span, i, slice(0, rows), c)
+        for j in range(rows):
+            short, long = min(span[i], span[j]), max(span[i], span[j])
+            a, b = (np.r_[0, np.cumsum((s[i] == s[j]) & (s[i] >= 0))] for s in (left, right))
+            worth = (a[:, None] + b + short) - c.similarity * (np.add.outer(np.arange(n + 1), np.arange(n + 1)) + long)
+            can = worth[np.add.outer(np.arange(n + 1), np.arange(n + 1)) + short >= c.least_words].max()
+            assert abs(can) < 1e-2 or got[j] == (can > 0)
+            found += got[j]
+    assert 0 < found < rows * rows
+
+
 def test_scores_by_words(spark, documents, monkeypatch):
     """Scores are the sum over a text's words, whatever a worker has forgotten between parts."""
     rows = [(i, " ".join([f"rare{i}", "the", "the", f"Rare{i % 7}"] * (i % 3))) for i in range(300)]
